@@ -5,8 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, sharding
-from .common import ship, table
+import public_tokenizers
+
+from . import chat_format, decontaminate, exact_dedup, near_dedup, packing, quality, sharding, token_files, toxicity
+from .common import Scratch, ship, table
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"), quality.remainder(F.col("doc_id"), 4) != 2)
+    out = docs.select("doc_id", (quality.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), quality.score_quality(F.col("text"), trees).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 1024, 0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), quality.remainder(F.col("doc_id"), 3) != 1)
+    out = docs.select("doc_id", (quality.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), toxicity.score_toxicity(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "tokens").path
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), 2)
+    back = token_files.read_token_files(spark, folder)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +69,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op9_chat_format, op10_sharding)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    items = F.col("found.items")
+    return out.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        F.col("found.n_hit").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join(items, ","), "utf-8"), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_token_files, op5_minhash, op7_exact_dedup, op8_decontamination, op9_chat_format, op10_sharding)}
 QUERIES = {k: (lambda spark, sf_dir, f=f: (ship(spark), f(spark, sf_dir))[1]) for k, f in QUERIES.items()}
 
 ORACLE_SQL = {
