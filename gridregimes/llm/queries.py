@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat_format, decontaminate, exact_dedup, near_dedup, packing, quality, sharding, token_files, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_extract, near_dedup, packing, quality, sharding, token_files, toxicity
 from .common import Scratch, ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -82,7 +87,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_token_files, op5_minhash, op7_exact_dedup, op8_decontamination, op9_chat_format, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_token_files, op5_minhash, op6_html_extraction, op7_exact_dedup, op8_decontamination, op9_chat_format, op10_sharding)}
 QUERIES = {k: (lambda spark, sf_dir, f=f: (ship(spark), f(spark, sf_dir))[1]) for k, f in QUERIES.items()}
 
 ORACLE_SQL = {
