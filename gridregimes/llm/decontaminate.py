@@ -133,7 +133,7 @@ def _looker(items: list[tuple[str, str | None]], window: int) -> Callable[..., C
 
 
 def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BENCHMARK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` and ``found``: struct of n_words, n_hit, items (ids as sorted strings), spans.
+    """The rows and columns of ``docs`` and ``found`` (replaced if there): n_words, n_hit, items (ids as sorted strings), spans.
 
     ``spans`` are code points [start, end) of the original text, merged. A null or empty text has no words; an empty
     benchmark hits nothing; items with a null id or text are ignored; of items repeated with one id all texts count.
@@ -147,3 +147,10 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int =
             found_at = found_at or Scratch(spark, "decontaminate")
             out = found_at.write(out, f"group{k}")
     return out.withColumn("found", F.col("found").dropFields("words"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    found = find_benchmark_passages(rows, benchmark, window)
+    return found.where(F.col("found.n_hit") == 0).select("row.*")

@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest id."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("gone")).distinct()
     gone = Scratch(docs.sparkSession, "near_gone").write(gone, "ids")
-    return docs.join(small(gone, 16 * gone.count()), F.col(id_col) == F.col("gone_id"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own"))
+    return rows.join(small(gone, 16 * gone.count()), F.col("own") == F.col("gone"), "left_anti").select("row.*")

@@ -156,3 +156,8 @@ def score_quality(text: Column, trees: Trees) -> Column:
             yield pd.Series(trees.score(matrix(texts)), dtype="float64")
 
     return scored(text)
+
+
+def keep_good(docs: DataFrame, trees: Trees, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose whole text scores ``least`` or more."""
+    return docs.where(score_quality(F.col(text_col), trees) >= least)
