@@ -1,7 +1,9 @@
 """Token ids by the tokenizers library, with a bounded memory of recurring words.
 
 Byte-level BPE cuts a text before every space that a visible character follows, so a text's ids are the ids of the
-pieces between those places, in order. Pieces recur; each is encoded once by the library while it is remembered.
+pieces between those places, in order. Pieces recur, and the words in them more so: a piece is put together from its
+words' ids, and the library's BPE model is asked once for each word while it is remembered. Pieces with characters
+beyond ASCII and the letters of Latin-1 go to the whole tokenizer, as its notion of a letter is then its own affair.
 """
 
 from __future__ import annotations
@@ -13,36 +15,71 @@ import pyarrow as pa
 
 #: Before a space that a letter, digit or visible ASCII character follows.
 _CUT = re.compile(r" (?=[\w!-~])")
-#: Pieces remembered in a process, and the longest one, in characters: some 60 MB at most.
-REMEMBERED, LONGEST = 300_000, 32
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}]*")
+#: Fixed value: the byte-level pre-tokenizer's pattern, for plain characters.
+_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+#: Pieces and words remembered in a process, and the longest one, in characters: some 150 MB at most.
+PIECES, WORDS, LONGEST = 250_000, 500_000, 32
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _byte_names() -> dict[int, str]:
+    """Byte-level BPE writes a byte as its Latin-1 character if that is visible, else as the next one from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class _Words(dict):
+    """Ids of words (with their space), as bytes, from the library's BPE model."""
+
+    def __init__(self, model: object, dtype: np.dtype):
+        super().__init__()
+        self.model, self.dtype, self.names = model, dtype, _byte_names()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array([x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.names))], self.dtype).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder(dict):
-    """Maps a piece (without the space before it) to its ids as bytes, for texts with single spaces between words."""
+    """Maps a piece (without the space before it) to its ids as bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
+        pre = t.pre_tokenizer
+        self.by_piece = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+        self.words = _Words(t.model, self.dtype)
+        self.marks = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
 
     def _encode(self, piece: str) -> bytes:
+        if self.by_piece and _PLAIN.fullmatch(piece) and not self.marks.search(piece):
+            return b"".join(map(self.words.__getitem__, _WORD.findall(piece)))
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._encode(" " + piece)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= PIECES:
                 self.clear()
             self[piece] = ids
         return ids
 
     def ids(self, text: str | None) -> np.ndarray:
+        """Ids of a whole text; of a tokenizer that is not byte-level BPE straight from the library."""
         if not text:
             return np.empty(0, self.dtype)
+        if not self.by_piece:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         first, *rest = _CUT.split(text)
         return np.frombuffer(self._encode(first) + b"".join(map(self.__getitem__, rest)), self.dtype)
 
