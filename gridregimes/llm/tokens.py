@@ -1,9 +1,10 @@
 """Token ids by the tokenizers library, with a bounded memory of recurring words.
 
-Byte-level BPE cuts a text before every space that a visible character follows, so a text's ids are the ids of the
-pieces between those places, in order. Pieces recur, and the words in them more so: a piece is put together from its
-words' ids, and the library's BPE model is asked once for each word while it is remembered. Pieces with characters
-beyond ASCII and the letters of Latin-1 go to the whole tokenizer, as its notion of a letter is then its own affair.
+Byte-level BPE cuts a text into words (with the space before them), numbers, signs and white space, and codes each by
+itself; they recur, so the library's BPE model is asked once for each while it is remembered. The cuts are made here
+for texts of ASCII and the letters of Latin-1. Other texts are cut before every space that a visible character follows,
+which is a cut of the tokenizer's too, and the pieces with other characters go to the whole tokenizer, as its notion of
+a letter is its own affair.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Before a space that a letter, digit or visible ASCII character follows.
-_CUT = re.compile(r" (?=[\w!-~])")
+_CUT = re.compile(r"(?= [\w!-~])")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}]*")
 #: Fixed value: the byte-level pre-tokenizer's pattern, for plain characters.
 _WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
-#: Pieces and words remembered in a process, and the longest one, in characters: some 150 MB at most.
-PIECES, WORDS, LONGEST = 250_000, 500_000, 32
+#: Words remembered in a process, and the longest one, in characters: some 170 MB at most.
+WORDS, LONGEST = 800_000, 32
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -47,41 +48,35 @@ class _Words(dict):
         return ids
 
 
-class Encoder(dict):
-    """Maps a piece (without the space before it) to its ids as bytes."""
-
+class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = t = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
         pre = t.pre_tokenizer
-        self.by_piece = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
+        self.by_word = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
         self.words = _Words(t.model, self.dtype)
         self.marks = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
 
-    def _encode(self, piece: str) -> bytes:
-        if self.by_piece and _PLAIN.fullmatch(piece) and not self.marks.search(piece):
-            return b"".join(map(self.words.__getitem__, _WORD.findall(piece)))
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._encode(" " + piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def _plain(self, text: str) -> bool:
+        return bool(_PLAIN.fullmatch(text)) and not self.marks.search(text)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; of a tokenizer that is not byte-level BPE straight from the library."""
         if not text:
             return np.empty(0, self.dtype)
-        if not self.by_piece:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        first, *rest = _CUT.split(text)
-        return np.frombuffer(self._encode(first) + b"".join(map(self.__getitem__, rest)), self.dtype)
+        of = self.words.__getitem__
+        if not self.by_word:
+            data = self._encode(text)
+        elif self._plain(text):
+            data = b"".join(map(of, _WORD.findall(text)))
+        else:
+            data = b"".join(b"".join(map(of, _WORD.findall(x))) if self._plain(x) else self._encode(x) for x in _CUT.split(text))
+        return np.frombuffer(data, self.dtype)
 
 
 def encoder(path: str) -> Encoder:
