@@ -1,16 +1,17 @@
 """Near duplicates by b-bit MinHash over sets of word shingles, with every link confirmed on the full sets.
 
 1. One scan of the texts gives each document its set's size, a 128-bit key of the set, the keys of 28 bands of 4 minima,
-   and 128 minima cut to their lowest 2 bits, packed into four longs. Documents with equal sets form a class; only
+   and 256 minima cut to their lowest 2 bits, packed into eight longs. Documents with equal sets form a class; only
    classes go on.
-2. Classes that share a band meet in a bucket. Each is paired with the bucket's smallest and largest one only, so a
-   bucket of k classes gives 2k pairs at most. A pair survives if its sizes allow the similarity, and if the similarity
-   estimated by counting equal bits (corrected for the 1 in 4 that agree by chance) is not six standard deviations low.
-3. Surviving pairs are confirmed on the sets themselves: first one for each class, then one for each two components,
-   then all that still lie between components.
-4. In each bucket with members of several components, those outside its largest component are compared with all its
-   members by their bits, and what survives is confirmed too. So any two classes that share a band have been compared or
-   are connected.
+2. Classes that share a band meet in a bucket. Each is paired with one other: of the smallest members of its buckets the
+   one it shares most of them with. A pair goes on to be confirmed if its sizes allow the similarity, and if the
+   similarity estimated by counting equal bits (corrected for the 1 in 4 that agree by chance) is not five standard
+   deviations low. So a bucket of k classes gives k pairs, and most families are connected by them.
+3. In each bucket that still has members of several components, one member of each component is paired with one of the
+   bucket's largest component, twice over.
+4. In the buckets that still have several components, the members outside the largest one are compared with all
+   members by their bits, within the join, and a pair that survives is made in the first bucket the two share. So any
+   two classes that share a band have been compared or are connected.
 
 At a similarity of 0.8 two sets share no band with a probability of 4e-7.
 """
@@ -28,15 +29,17 @@ from pyspark.sql import functions as F
 from .common import Scratch, small
 from .components import components
 
-BANDS, ROWS, MINIMA = 28, 4, 128
-#: What an estimate may lie below the wanted similarity: about six standard deviations of 128 two-bit minima.
-SLACK = 0.25
+BANDS, ROWS, MINIMA = 28, 4, 256
+#: What an estimate may lie below the wanted similarity: five standard deviations of 256 two-bit minima.
+SLACK = 0.15
+LONGS = MINIMA // 32
+BITS = [f"s{i}" for i in range(LONGS)]
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20_240_607)
 _MULTIPLY = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * 2 + 1)[:, None]
 _ADD = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CHUNK = 4096
+_CHUNK = 2048
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -81,21 +84,21 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 def packed_bits(low: np.ndarray) -> np.ndarray:
     """Two bits of each minimum (mixed first, as low bits of a linear hash are weak), 32 minima a long."""
     two = ((low * np.uint32(0x85EBCA6B)) >> np.uint32(17)).astype(np.uint64) & np.uint64(3)
-    return np.bitwise_or.reduce(two.reshape(4, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
+    return np.bitwise_or.reduce(two.reshape(LONGS, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
 
 
 def estimate(a: str, b: str) -> Column:
-    """Similarity of the classes whose packed longs are ``{a}0..3`` and ``{b}0..3``."""
+    """Similarity of the classes whose packed longs are ``{a}0..`` and ``{b}0..``."""
     differ = F.lit(0)
-    for i in range(4):
+    for i in range(LONGS):
         x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return (0.75 - differ / MINIMA) / 0.75
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, key, s0..s3, bands) of every row; n is 0 and the rest null for a text without words."""
-    schema = "id long, n long, key binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+    """(id, n, key, s0.., bands) of every row; n is 0 and the rest null for a text without words."""
+    schema = f"id long, n long, key binary, {', '.join(f'{s} long' for s in BITS)}, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +113,10 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
                     bands.append(band_keys(low))
                 else:
                     keys.append(None)
-                    bits.append(np.zeros(4, np.int64))
+                    bits.append(np.zeros(LONGS, np.int64))
                     bands.append(None)
-            columns = np.array(bits, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(columns[:, i]) for i in range(4)), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "key", "s0", "s1", "s2", "s3", "bands"])
+            columns = np.array(bits, np.int64).reshape(-1, LONGS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(columns[:, i]) for i in range(LONGS)), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "key", *BITS, "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "utf-8").alias("text")).mapInArrow(run, schema)
 
@@ -149,76 +152,77 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     scratch = Scratch(spark, "near_dedup")
     sigs = scratch.write(signatures(docs, k, id_col, text_col), "signatures")
     live = sigs.where("n > 0 AND id IS NOT NULL")
-    bits = ["s0", "s1", "s2", "s3"]
-    classes = live.groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in bits), F.first("bands").alias("bands"))
+    classes = live.groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in BITS), F.first("bands").alias("bands"))
     classes = scratch.write(classes, "classes")
 
-    member = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
+    member = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where("size > 1")
     met = scratch.write(member.join(buckets, "bucket"), "met")
-    ends = F.explode(F.array("low", "high")).alias("end")
-    pairs = met.select("node", ends).where("node <> end").select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
-    brief = classes.select("node", "n", *bits)
 
-    def side(name: str) -> DataFrame:
-        return brief.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(s).alias(f"{name}{s[1]}") for s in bits))
+    def side(name: str, *more: str) -> DataFrame:
+        return classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(s).alias(f"{name}{s[1:]}") for s in BITS), *(F.col(c).alias(f"{c}_{name}") for c in more))
 
     may = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate("a", "b") >= percent / 100 - SLACK)
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b", estimate("a", "b").alias("likely"))
-    pairs = scratch.write(pairs, "pairs")
 
-    # texts of the classes that some pair may need, later rounds included: those that met another
+    # texts of the classes that a pair may need: those that met another
     wanted = met.select("node").distinct()
-    n_wanted = wanted.count()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = scratch.write(texts.join(small(wanted, 16 * n_wanted), "node", "left_semi"), "texts")
+    texts = scratch.write(texts.join(small(wanted, 16 * wanted.count()), "node", "left_semi"), "texts")
+    tried, roots, steps = [], None, 0
 
-    def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """Adds the components ca and cb of a and b; only rows between two of them."""
-        out = rows
-        for c in "ab":
-            out = out.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"r{c}", c)).drop(f"r{c}")
-        return out.where("ca <> cb")
-
-    steps = 0
-
-    def extend(links: DataFrame | None, rows: DataFrame) -> DataFrame:
-        """(node, root) after the rows that are confirmed have joined the links so far."""
-        nonlocal steps
+    def link(pairs: DataFrame) -> bool:
+        """Confirms pairs (a > b) that have not been tried and may be similar, and joins the components they connect."""
+        nonlocal roots, steps
         steps += 1
-        new = scratch.write(confirm(rows, texts, k, percent), f"links{steps}")
-        if links is not None:
-            new = new.unionByName(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        return scratch.write(components(new, scratch, f"round{steps}_"), f"roots{steps}")
-
-    first = pairs.groupBy("a").agg(F.min_by("b", F.struct(F.col("likely") < (percent + 5) / 100, "b")).alias("b"))
-    roots = extend(None, first)
-    between = scratch.write(apart(pairs, roots), "between1")
-    if between.limit(1).count():
-        best = between.groupBy(F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")).agg(F.max_by(F.struct("a", "b"), F.struct("likely", "a", "b")).alias("p")).select("p.*")
-        roots = extend(roots, best)
-        between = scratch.write(apart(between.select("a", "b"), roots).join(best, ["a", "b"], "left_anti"), "between2")
-        if between.limit(1).count():
-            roots = extend(roots, between)
-
-    # what was paired neither way in a bucket of four or more
-    large = met.where("size > 3").select("bucket", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
-    mixed = large.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-    mixed = scratch.write(large.join(mixed, "bucket"), "mixed")
-    if mixed.limit(1).count():
-        main = mixed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max_by("c", F.struct("size", "c")).alias("main"))
-        outside = mixed.join(main, "bucket").where("c <> main").select("bucket", F.col("node").alias("a"), F.col("c").alias("ca")).join(side("a"), "a")
-        inside = mixed.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb")).join(side("b"), "b")
-        rest = outside.join(inside, (outside["bucket"] == inside["bucket"]) & (F.col("ca") != F.col("cb")) & may)
-        rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        rest = scratch.write(rest, "rest")
-        if rest.limit(1).count():
-            roots = extend(roots, rest)
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"), f"pairs{steps}")
+        tried.append(pairs)
+        new = scratch.write(confirm(pairs, texts, k, percent), f"links{steps}")
+        if roots is not None:
+            if not new.limit(1).count():
+                return False
+            new = new.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = scratch.write(components(new, scratch, f"round{steps}_"), f"roots{steps}")
+        return True
+
+    def mixed(name: str) -> DataFrame:
+        """Members (bucket, band, node, c) of buckets with several components c."""
+        rows = met.select("bucket", "band", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+        several = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
+        return scratch.write(rows.join(several, "bucket"), name)
+
+    def largest(rows: DataFrame) -> DataFrame:
+        """(bucket, c, rep, main, main_rep) of each component in each bucket, and the bucket's largest component."""
+        own = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep"))
+        main = own.groupBy("bucket").agg(F.max(F.struct("size", "c", "rep")).alias("m")).select("bucket", F.col("m.c").alias("main"), F.col("m.rep").alias("main_rep"))
+        return own.join(main, "bucket")
+
+    def ordered(a: str, b: str) -> list[Column]:
+        return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+    shared = met.where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("times"))
+    link(shared.groupBy("node").agg(F.max(F.struct("times", (-F.col("low")).alias("low"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.low")).alias("b")))
+    rows = mixed("mixed0")
+    for turn in (1, 2):
+        pairs = largest(rows).where("c <> main").select(*ordered("rep", "main_rep")).distinct()
+        if link(pairs):
+            rows = mixed(f"mixed{turn}")
+        else:
+            break
+    if rows.limit(1).count():
+        main = largest(rows).select("bucket", "main").distinct()
+        outside = rows.join(main, "bucket").where("c <> main").select("bucket", "band", F.col("node").alias("a"), F.col("c").alias("ca"), "main").join(side("a", "bands"), "a")
+        inside = rows.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("c").alias("cb")).join(side("b", "bands"), "b")
+        once = (F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))  # two outside members meet from either side
+        first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
+        rest = outside.join(inside, (F.col("bucket") == F.col("bucket_b")) & (F.col("ca") != F.col("cb")) & once & may & first)
+        link(rest.select(*ordered("a", "b")).distinct())
 
     of_class = classes.select("node", "key").join(roots.where("node <> root"), "node").select("key", "root")
     named = classes.select("key", "node").join(of_class, "key", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     out = sigs.join(named, "key", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    for name in ("met", "pairs", "texts", "between1", "between2", "mixed", "rest"):
+    for name in ("met", "texts", "mixed0", "mixed1", "mixed2"):
         scratch.drop(name)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
 

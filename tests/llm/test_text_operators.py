@@ -273,7 +273,7 @@ def test_estimate_is_near_the_similarity():
     a, b = (np.unique(np.r_[both, rng.integers(0, 1 << 63, 100, dtype=np.uint64)]) for _ in range(2))
     x, y = (near_dedup.packed_bits(near_dedup.minima(s)).view(np.uint64) for s in (a, b))
     differ = sum(bin(int((v | v >> np.uint64(1)) & np.uint64(0x5555555555555555))).count("1") for v in x ^ y)
-    assert abs((0.75 - differ / 128) / 0.75 - 0.8) < 0.15
+    assert abs((0.75 - differ / near_dedup.MINIMA) / 0.75 - 0.8) < 0.15
 
 
 def test_decontamination(spark, docs, empty):
