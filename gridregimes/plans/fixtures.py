@@ -33,10 +33,10 @@ def labels(spark: SparkSession, sf_dir: str, skew: bool = False) -> DataFrame:
 
 
 def indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(index_name, date, value): monthly mean order value by priority."""
+    """(index_name, date, value): monthly mean order value by priority, in units of 997 (a mean of cents then never ends in a 5 to be rounded)."""
     o = table(spark, sf_dir, "orders")
     month = F.date_trunc("month", F.col("o_orderdate").cast("date")).cast("date")
-    return o.groupBy(F.col("o_orderpriority").alias("index_name"), month.alias("date")).agg((F.avg("o_totalprice") / 1000).alias("value"))
+    return o.groupBy(F.col("o_orderpriority").alias("index_name"), month.alias("date")).agg((F.avg("o_totalprice") / 997).alias("value"))
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,11 @@ def sql_field(variable: str = "quantity", by: str = "day", name: str = "field")
 SQL_DAYS = "days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS time FROM lineitem)"
 SQL_LABELS = f"{SQL_DAYS}, labels_ AS (SELECT time, CAST(1 + (CAST(time - DATE '1970-01-01' AS BIGINT) * 7919 % 104729) % 9 AS INTEGER) AS node_id FROM days)"
 SQL_SKEWED = f"{SQL_DAYS}, labels_ AS (SELECT time, CAST(least(9, 1 + (CAST(time - DATE '1970-01-01' AS BIGINT) * 7919 % 104729) % 17) AS INTEGER) AS node_id FROM days)"
-SQL_INDEX = "index_ AS (SELECT o_orderpriority AS index_name, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS date, avg(o_totalprice) / 1000 AS value FROM orders GROUP BY ALL)"
+SQL_INDEX = "index_ AS (SELECT o_orderpriority AS index_name, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS date, avg(o_totalprice) / 997 AS value FROM orders GROUP BY ALL)"
 SQL_EVENTS = "event_series AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY ALL)"
 
 
-def sql_t(t: str, dof: str, steps: int = 400) -> str:
+def sql_t(t: str, dof: str, steps: int = 4000) -> str:
     """Two-sided p of Student's t by Simpson's rule over the angle."""
     a = f"atan(abs({t}) / sqrt({dof}))"
     h = f"((pi() / 2 - {a}) / {steps})"
