@@ -18,6 +18,8 @@ from .common import Scratch, lower_ascii
 #: Bits in one bitmap of Spark's bitmap functions.
 BITMAP_BITS = 32768
 MAX_FILTER_BITS = 1 << 30
+#: Groups of more than one row in so many are told to all tasks: there are fewer of them than this.
+HOT = 1024
 
 
 def _positions(h: Column, bits: int) -> list[Column]:
@@ -59,12 +61,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.unhex(F.sha2(F.encode(norm, "utf-8"), 256))
     hashes = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), sha.alias("sha"))
     hashes = scratch.write(hashes, "hashes").withColumn("h", F.xxhash64("sha"))
-    bits = filter_bits(hashes.count(), max_bits)
+    rows = hashes.count()
+    bits = filter_bits(rows, max_bits)
     marked = mark_repeated(hashes, repeated_bits(hashes, bits), bits).drop("h")
     alone = marked.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = marked.where("maybe").drop("maybe")
     groups = again.groupBy("sha").agg(F.max(F.struct("id", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    again = again.join(groups, "sha").select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "sha")
+    groups = scratch.write(groups, "groups")
+    hot = F.broadcast(groups.where(F.col("group_size") * HOT > rows))
+    rest = again.join(hot.select("sha"), "sha", "left_anti").join(groups.where(F.col("group_size") * HOT <= rows), "sha")
+    again = again.join(hot, "sha").unionByName(rest).select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "sha")
     return alone.unionByName(again).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
