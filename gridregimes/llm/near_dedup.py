@@ -9,9 +9,9 @@
    deviations low. So a bucket of k classes gives k pairs, and most families are connected by them.
 3. In each bucket that still has members of several components, one member of each component is paired with one of the
    bucket's largest component, twice over.
-4. In the buckets that still have several components, the members outside the largest one are compared with all
-   members by their bits, within the join, and a pair that survives is made in the first bucket the two share. So any
-   two classes that share a band have been compared or are connected.
+4. In the buckets that still have several components, the members outside the largest one meet all members, once in the
+   first bucket the two share. The join's condition compares sizes, then bits, then the full sets, which the members
+   carry by now; only links come out of it. So any two classes that share a band have been compared or are connected.
 
 At a similarity of 0.8 two sets share no band with a probability of 4e-7.
 """
@@ -121,6 +121,17 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "utf-8").alias("text")).mapInArrow(run, schema)
 
 
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of (node, text): the whole set as sorted longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_buffer().to_pybytes(), k).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", F.encode("text", "utf-8").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union; ``texts`` has (node, text)."""
 
@@ -159,8 +170,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     buckets = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where("size > 1")
     met = scratch.write(member.join(buckets, "bucket"), "met")
 
-    def side(name: str, *more: str) -> DataFrame:
-        return classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(s).alias(f"{name}{s[1:]}") for s in BITS), *(F.col(c).alias(f"{c}_{name}") for c in more))
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(s).alias(f"{name}{s[1:]}") for s in BITS))
 
     may = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate("a", "b") >= percent / 100 - SLACK)
 
@@ -178,7 +189,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"), f"pairs{steps}")
         tried.append(pairs)
-        new = scratch.write(confirm(pairs, texts, k, percent), f"links{steps}")
+        return join_links(confirm(pairs, texts, k, percent))
+
+    def join_links(links: DataFrame) -> bool:
+        nonlocal roots
+        new = scratch.write(links, f"links{steps}")
         if roots is not None:
             if not new.limit(1).count():
                 return False
@@ -211,18 +226,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         else:
             break
     if rows.limit(1).count():
+        steps += 1
+        sets = full_sets(texts.join(rows.select("node").distinct(), "node", "left_semi"), k)
+        known = scratch.write(classes.join(sets, "node").select("node", "n", *BITS, "bands", "shingles"), "sets")
+
+        def member_of(name: str) -> DataFrame:
+            own = known.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(x).alias(f"{name}{x[1:]}") for x in BITS), F.col("bands").alias(f"bands_{name}"), F.col("shingles").alias(f"shingles_{name}"))
+            return rows.select(F.col("bucket").alias(f"bucket_{name}"), "band", F.col("node").alias(name), F.col("c").alias(f"c_{name}")).join(own, name)
+
         main = largest(rows).select("bucket", "main").distinct()
-        outside = rows.join(main, "bucket").where("c <> main").select("bucket", "band", F.col("node").alias("a"), F.col("c").alias("ca"), "main").join(side("a", "bands"), "a")
-        inside = rows.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("c").alias("cb")).join(side("b", "bands"), "b")
-        once = (F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))  # two outside members meet from either side
+        outside = member_of("a").join(main, F.col("bucket_a") == main["bucket"]).where("c_a <> main").drop("bucket")
+        inside = member_of("b").drop("band")
+        once = (F.col("c_b") == F.col("main")) | (F.col("a") > F.col("b"))  # two outside members meet from either side
         first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
-        rest = outside.join(inside, (F.col("bucket") == F.col("bucket_b")) & (F.col("ca") != F.col("cb")) & once & may & first)
-        link(rest.select(*ordered("a", "b")).distinct())
+        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        linked = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
+        rest = outside.join(inside, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("c_a") != F.col("c_b")) & once & may & first & linked)
+        join_links(rest.select(*ordered("a", "b")))
 
     of_class = classes.select("node", "key").join(roots.where("node <> root"), "node").select("key", "root")
     named = classes.select("key", "node").join(of_class, "key", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     out = sigs.join(named, "key", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    for name in ("met", "texts", "mixed0", "mixed1", "mixed2"):
+    for name in ("met", "texts", "sets", "mixed0", "mixed1", "mixed2"):
         scratch.drop(name)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
 
