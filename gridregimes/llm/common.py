@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship as ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes that a side may have, as counted, to be broadcast; a larger side is joined by a shuffle.
 BROADCAST_LIMIT = 32 << 20
@@ -70,17 +71,3 @@ def small(df: DataFrame, n_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFram
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package where their path lacks it (a driver started outside the repository)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    sc = spark.sparkContext
-    if root in paths or getattr(sc, "_gridregimes_shipped", False):
-        return
-    import shutil
-
-    zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "gridregimes"), "zip", root, "gridregimes")
-    sc.addPyFile(zipped)
-    sc._gridregimes_shipped = True
