@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridregimes.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from gridregimes.llm.common import Scratch, ship, table
+from gridregimes.llm.common import Scratch, prepare, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It learns from labels of the documents it is given."""
-    ship(spark)
+    prepare(spark)
     trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"), quality.remainder(F.col("doc_id"), 4) != 2)
     return quality.keep_good(docs, trees)
 
@@ -29,19 +29,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 over five-word shingles the one with the smallest id."""
-    ship(spark)
+    prepare(spark)
     return near_dedup.drop_near_duplicates(docs, 5, 80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten-word window of the benchmark."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), 10)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 1024 token ids: one row per piece of a document, with the ids themselves."""
-    ship(spark)
+    prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 0)
 
 

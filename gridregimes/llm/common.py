@@ -71,3 +71,16 @@ def small(df: DataFrame, n_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFram
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows and bytes of a batch that goes to a Python worker, where the session's configuration does not say.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package on executors, and batches small enough that long texts leave memory to the executor itself."""
+    ship(spark)
+    given = spark.sparkContext.getConf()
+    for key, value in BATCH.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import chat_format, decontaminate, exact_dedup, html_extract, near_dedup, packing, quality, sharding, token_files, toxicity
-from .common import Scratch, ship, table
+from .common import Scratch, prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -88,7 +88,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_toxicity, op4_token_files, op5_minhash, op6_html_extraction, op7_exact_dedup, op8_decontamination, op9_chat_format, op10_sharding)}
-QUERIES = {k: (lambda spark, sf_dir, f=f: (ship(spark), f(spark, sf_dir))[1]) for k, f in QUERIES.items()}
+QUERIES = {k: (lambda spark, sf_dir, f=f: (prepare(spark), f(spark, sf_dir))[1]) for k, f in QUERIES.items()}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
