@@ -20,8 +20,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r -~{_LETTERS}]*")
 #: Fixed value: the byte-level pre-tokenizer's pattern, for plain characters.
 _WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
-#: Words remembered in a process, and the longest one, in characters: some 170 MB at most.
-WORDS, LONGEST = 800_000, 32
+#: Words remembered in a process, and the longest one, in characters: some 110 MB at most.
+WORDS, LONGEST = 500_000, 32
 
 _encoders: dict[str, "Encoder"] = {}
 
