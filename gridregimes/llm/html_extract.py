@@ -1,23 +1,24 @@
 """Main text of web pages by equivalence classes of tokens across the pages of a host.
 
-A page's tokens are its tags, each told apart by the path of elements it stands in. All tokens that occur equally often
-in each page of a host share an occurrence vector; those of one vector are an equivalence class. Vectors are compared by
-an order-free sum of hashes of (page, count), so classes come from one aggregation with partial sums and no host's pages
-are ever gathered. A class whose tokens occur once in each page of its support is a template's skeleton if it is valid:
-each of its elements opens and closes in the class, and the elements nest. Classes of pages that lack parts of the
-template nest in it: they hold on part of the pages, between two neighbours of a class that holds on more.
-
-The template cuts a page into slots. A slot's place in the nested elements says what it is: the slots in the main
-element of the host's template are kept, without those in menus, headers, footers, sidebars, notices, adverts, forms
-and comments; their text is read as blocks.
+A page's tokens are its tags and the words of its text, each told apart by the path of elements it stands in. Tokens
+that occur on the same pages of a host, each equally often on all of them, are an equivalence class. Pages are compared
+by order-free sums of hashes, so classes come from one aggregation with partial sums and no host's pages are ever
+gathered. A class is valid if an element opens and closes once in it, on three pages at least (``SUPPORT``). A word is
+the template's if it is of a valid class and stands within such an element of it; so classes of pages that lack parts
+of the template nest in it, each with words of its own.
+
+Template tokens cut a page into slots. A block of words that are all the template's is no slot. Names break ties only:
+what stands in menus, headers, footers, sidebars, notices, adverts, forms and comments by its tag or class is left out
+though it varies, and what stands in a page's article or main element is kept though it recurs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,16 +39,31 @@ _BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset foot
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"div", "article", "section", "main", "td", "li", "blockquote", "body"}}
 _BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo|promotion|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|reply|respond|widget|toolbar|pagination|pager|skip|copyright|disclaimer|gdpr)(?:$|[\s_-]|\d)", re.I)
+#: Pages that a class must be on; on fewer, what pages share is no evidence of a template.
+SUPPORT = 3
+#: Tokens that a task sums up before it hands on the partial sums.
+HELD = 200_000
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 
+@lru_cache(1 << 18)
+def _hash(word: str) -> int:
+    """The same 64 bits in every process."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+_OPEN, _CLOSE, _WORD = 0, 1, 2
+_TAGS = (_hash("<"), _hash("</"))
+
+
 class Node:
-    """An open element: name, key of its path, whether it is left out, and whether it may hold the main text."""
+    """An open element: name, key and hash of its path, whether it is left out, and whether it may hold the main text."""
 
-    __slots__ = ("name", "key", "drop", "main")
+    __slots__ = ("name", "key", "at", "drop", "main")
 
     def __init__(self, name: str, key: str, drop: bool, main: bool):
         self.name, self.key, self.drop, self.main = name, key, drop, main
+        self.at = _hash(f"path {key}")
 
 
 def _element(name: str, attrs: str, parent: Node) -> Node:
@@ -112,36 +128,52 @@ def parse(page: str) -> Iterator[tuple[str, Node, str]]:
         yield "close", stack.pop(), ""
 
 
-def token_counts(page: str | None) -> Counter:
-    """How often each token (tag with its path) occurs in the page."""
-    return Counter(("</" if kind == "close" else "<") + node.key for kind, node, _ in parse(page or "") if kind in ("open", "close"))
-
-
-def blocks(page: str | None, template: frozenset[str]) -> list[str]:
-    """The page's main text, block by block. ``template``: paths of the main elements of its host's template.
-
-    Without any of them in the page (a host's odd page), the page's own main elements count, else its body.
+def token_counts(page: str | None) -> dict[int, list]:
+    """[how often, kind, element] of each token in the page; words of what is left out anyway are not counted."""
+    found: dict[int, list] = {}
+    for kind, node, text in parse(page or ""):
+        if kind == "text":
+            if not node.drop:
+                at = node.at
+                for word in text.split():
+                    token = at ^ _hash(word)
+                    if token in found:
+                        found[token][0] += 1
+                    else:
+                        found[token] = [1, _WORD, node]
+        elif kind != "break":
+            side = _CLOSE if kind == "close" else _OPEN
+            found.setdefault(node.at ^ _TAGS[side], [0, side, node])[0] += 1
+    return found
+
+
+def blocks(page: str | None, template: frozenset[int]) -> list[str]:
+    """The page's main text, block by block. ``template``: the words of its host's template, as tokens.
+
+    The page's own main elements count; without any, all slots of its body. A page without slots is read whole.
     """
     events = list(parse(page or ""))
-    opened = {node.key for kind, node, _ in events if kind == "open"}
-    own = template & opened or {n.key for k, n, _ in events if k == "open" and not n.drop and n.name in ("article", "main")}
+    own = {n.key for k, n, _ in events if k == "open" and not n.drop and n.name in ("article", "main")}
     out, held, inside = [], [], 0
 
     def flush() -> None:
-        if line := _SPACE.sub(" ", "".join(held)).strip(" "):
-            out.append(line)
+        if line := _SPACE.sub(" ", "".join(text for _, text in held)).strip(" "):
+            slot = any(node.at ^ _hash(word) not in template for node, text in held for word in text.split())
+            out.append((line, inside > 0, slot))
         held.clear()
 
     for kind, node, text in events:
         if kind == "text":
-            if (inside or not own) and not node.drop:
-                held.append(text)
+            if not node.drop:
+                held.append((node, text))
         else:
             flush()
             if node.key in own and kind != "break":
                 inside += 1 if kind == "open" else -1
     flush()
-    return out
+    if own:
+        return [line for line, main, _ in out if main]
+    return [line for line, _, slot in out if slot] or [line for line, _, _ in out]
 
 
 def host_of(url: Column) -> Column:
@@ -149,39 +181,53 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, main): paths of the main elements of each host's template.
+    """(host, words): hash of each host, and the words of its template as tokens.
 
-    The skeleton is made of valid classes: all their tokens occur once in each page of the support, and an element's
-    opening and closing tokens both belong. Of the skeleton's elements, article and main elements that are not in
-    boilerplate are the main ones, on the widest support first.
+    A class is told by the sums of two hashes of its pages. Tags open and close once on each page of a valid class; its
+    words occur equally often on each, and within an element of the class.
     """
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("page"), F.col(html_col).alias("html"))
+    rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("page"), F.col(html_col).alias("html"))
+    names = ["host", "token", "kind", "at", "path", "a", "b", "support", "least", "most"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
+
+        def partial() -> pa.RecordBatch:
+            columns = zip(*((*key, *own) for key, own in sums.items())) if sums else [()] * len(names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            sums.clear()
+            return batch
+
         for batch in batches:
-            host, token, n, page = [], [], [], []
-            for h, p, x in zip(*(batch.column(i) for i in range(3)), strict=True):
-                for t, k in token_counts(x.as_py()).items():
-                    host.append(h.as_py())
-                    page.append(p.as_py())
-                    token.append(t)
-                    n.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.string()), pa.array(n, pa.int64())], ["host", "page", "token", "n"])
-
-    tokens = rows.mapInArrow(count, "host string, page long, token string, n long")
-    vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector")  # order-free, so partial sums add up
-    vectors = tokens.groupBy("host", "token").agg(vector, F.count(F.lit(1)).alias("support"), F.max("n").alias("most"))
-    vectors = scratch.write(vectors.where("most = 1"), "vectors")
-    classes = vectors.withColumns({"path": F.regexp_replace("token", "^</?", ""), "close": F.col("token").startswith("</")})
-    paired = classes.groupBy("host", "vector", "path").agg(F.count(F.lit(1)).alias("sides"), F.max("support").alias("support")).where("sides = 2")
-    # a class nests in the template if the element around it is of a valid class that holds on as many pages or more
-    around = paired.select(F.col("host").alias("a_host"), F.col("path").alias("a_path"), F.col("support").alias("a_support"))
-    name = F.regexp_extract("path", r"/([^/.]*)(?:\.[^/]*)?$", 1)
-    kept = paired.where(name.isin("article", "main")).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
-    nests = (F.col("host") == F.col("a_host")) & (F.col("parent") == F.col("a_path")) & (F.col("a_support") >= F.col("support"))
-    top = kept.where("parent = ''").select("host", "path", "support")
-    kept = kept.join(around, nests, "left_semi").select("host", "path", "support").unionByName(top)
-    return kept.groupBy("host").agg(F.transform(F.sort_array(F.collect_set(F.struct("support", "path")), asc=False), lambda x: x["path"]).alias("main"))
+            for h, p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                a, b = p & 0x7FFFFFFF, p >> 32 & 0x7FFFFFFF
+                for token, (n, kind, node) in token_counts(x.as_py()).items():
+                    own = sums.get((h, token))
+                    if own is None:
+                        sums[h, token] = [kind, node.at, None if kind == _WORD else node.key, a, b, 1, n, n]
+                    else:
+                        own[3] += a
+                        own[4] += b
+                        own[5] += 1
+                        own[6] = min(own[6], n)
+                        own[7] = max(own[7], n)
+                if len(sums) > HELD:
+                    yield partial()
+        yield partial()
+
+    tokens = rows.mapInArrow(count, "host long, token long, kind int, at long, path string, a long, b long, support long, least long, most long")
+    whole = [f(c).alias(c) for f, cs in ((F.sum, ("a", "b", "support")), (F.min, ("least",)), (F.max, ("most",))) for c in cs]
+    vectors = tokens.groupBy("host", "token", "kind", "at", "path").agg(*whole)
+    vectors = scratch.write(vectors.where((F.col("support") >= SUPPORT) & ((F.col("least") == F.col("most")) | (F.col("kind") == _OPEN))), "vectors")
+    paths = vectors.where(F.col("kind") == _OPEN).select("host", "at", F.concat("path", F.lit("/")).alias("place"))
+    tags = vectors.where((F.col("kind") != _WORD) & (F.col("most") == 1))
+    valid = tags.groupBy("host", "path", "a", "b", "support").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2")
+    valid = valid.select(*[F.col(c).alias(f"of_{c}") for c in ("host", "path", "a", "b", "support")])
+    same = [F.col(c) == F.col(f"of_{c}") for c in ("host", "a", "b", "support")]
+    words = vectors.where(F.col("kind") == _WORD).select("host", "token", "at", "a", "b", "support").join(paths, ["host", "at"])
+    found = words.join(valid, [*same, F.col("place").startswith(F.concat("of_path", F.lit("/")))], "left_semi")
+    return found.groupBy("host").agg(F.collect_set("token").alias("words"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -192,14 +238,14 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     scratch = Scratch(pages.sparkSession, "html_extract")
     found = scratch.write(templates(pages, scratch, id_col, url_col, html_col), "templates")
-    size = found.select(F.coalesce(F.sum(F.length("host") + F.length(F.array_join("main", " ")) + 64), F.lit(0))).first()[0]
+    size = found.select(F.coalesce(F.sum(8 * F.size("words") + 64), F.lit(0))).first()[0]
 
     def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for htmls, mains in batches:
-            yield pa.array(["\n".join(blocks(x.as_py(), frozenset(m.as_py() or ()))) for x, m in zip(htmls, mains, strict=True)], pa.string())
+        for htmls, words in batches:
+            yield pa.array(["\n".join(blocks(x.as_py(), frozenset(w.as_py() or ()))) for x, w in zip(htmls, words, strict=True)], pa.string())
 
     # the page is one column meanwhile, so that none of its own names can clash
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).alias("html"))
     joined = rows.join(small(found.withColumnRenamed("host", "of_host"), size), F.col("host") == F.col("of_host"), "left")
-    joined = joined.select("row", F.arrow_udf(read, "string")(F.col("html"), F.col("main")).alias("text"))
+    joined = joined.select("row", F.arrow_udf(read, "string")(F.col("html"), F.col("words")).alias("text"))
     return joined.select(*[F.col(f"row.`{c}`") for c in pages.columns if c != "main_text"], F.col("text").alias("main_text"))

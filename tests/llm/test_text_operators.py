@@ -364,3 +364,16 @@ def test_html(spark, empty):
         assert r.main_text == PAGES[r.page_id][2], r.page_id
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
     assert html_extract.blocks("<article>" + "<p>x" * 20_000, frozenset()) == ["x"] * 20_000
+
+
+def extracted(spark, htmls):
+    pages = spark.createDataFrame([(i, f"http://t.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").repartition(3)
+    return [r.main_text for r in html_extract.extract_main_text(pages).orderBy("page_id").collect()]
+
+
+def test_html_template_without_names(spark):
+    """Menus, notices and footers of neutral names recur over the host; a notice is on every other page only."""
+    note = "<div class='n2'><p>We use the biscuits that the site needs</p></div>"
+    htmls = [f"<body><div class='x1'><p>Home News</p></div>{note if i % 2 else ''}<div class='c-204'><h1>Title {i}</h1><p>Text t{i} of u{i}</p></div><div class='x9'>All rights reserved</div></body>" for i in range(8)]
+    assert extracted(spark, htmls) == [f"Title {i}\nText t{i} of u{i}" for i in range(8)]
+    assert extracted(spark, htmls[:1] * 4) == ["Home News\nTitle 0\nText t0 of u0\nAll rights reserved"] * 4  # no slots
