@@ -150,7 +150,8 @@ def token_counts(page: str | None) -> dict[int, list]:
 def blocks(page: str | None, template: frozenset[int]) -> list[str]:
     """The page's main text, block by block. ``template``: the words of its host's template, as tokens.
 
-    The page's own main elements count; without any, all slots of its body. A page without slots is read whole.
+    The page's own main elements are read if the words of their slots are as many as those of all other slots, else all
+    slots: a teaser or card in an article element does not stand for the page. A page without slots is read whole.
     """
     events = list(parse(page or ""))
     own = {n.key for k, n, _ in events if k == "open" and not n.drop and n.name in ("article", "main")}
@@ -158,8 +159,9 @@ def blocks(page: str | None, template: frozenset[int]) -> list[str]:
 
     def flush() -> None:
         if line := _SPACE.sub(" ", "".join(text for _, text in held)).strip(" "):
-            slot = any(node.at ^ _hash(word) not in template for node, text in held for word in text.split())
-            out.append((line, inside > 0, slot))
+            words = [node.at ^ _hash(word) for node, text in held for word in text.split()]
+            slot = any(word not in template for word in words)
+            out.append((line, inside > 0, len(words) if slot else 0))
         held.clear()
 
     for kind, node, text in events:
@@ -171,9 +173,10 @@ def blocks(page: str | None, template: frozenset[int]) -> list[str]:
             if node.key in own and kind != "break":
                 inside += 1 if kind == "open" else -1
     flush()
-    if own:
+    within = sum(n for _, main, n in out if main)
+    if any(main for _, main, _ in out) and within >= sum(n for _, main, n in out if not main):
         return [line for line, main, _ in out if main]
-    return [line for line, _, slot in out if slot] or [line for line, _, _ in out]
+    return [line for line, _, n in out if n] or [line for line, _, _ in out]
 
 
 def host_of(url: Column) -> Column:

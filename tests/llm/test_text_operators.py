@@ -377,3 +377,11 @@ def test_html_template_without_names(spark):
     htmls = [f"<body><div class='x1'><p>Home News</p></div>{note if i % 2 else ''}<div class='c-204'><h1>Title {i}</h1><p>Text t{i} of u{i}</p></div><div class='x9'>All rights reserved</div></body>" for i in range(8)]
     assert extracted(spark, htmls) == [f"Title {i}\nText t{i} of u{i}" for i in range(8)]
     assert extracted(spark, htmls[:1] * 4) == ["Home News\nTitle 0\nText t0 of u0\nAll rights reserved"] * 4  # no slots
+
+
+@pytest.mark.parametrize("teaser, own", [("<aside><article><p>Teaser {i}</p></article></aside>", ""), ("<div class='related'><article>Card {i}</article></div>", ""), ("<article><p>Card {i}</p></article>", "Card {i}\n")])
+def test_html_teaser_article_beside_a_div(spark, teaser, own):
+    htmls = [f"<body>{teaser.format(i=i)}<div class='c'><h1>Title {i}</h1><p>The text of t{i} is here</p></div></body>" for i in range(6)]
+    want = [f"{own.format(i=i)}Title {i}\nThe text of t{i} is here" for i in range(6)]
+    assert extracted(spark, htmls) == want
+    assert ["\n".join(html_extract.blocks(h, frozenset())) for h in htmls] == want
