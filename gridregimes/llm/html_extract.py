@@ -9,7 +9,8 @@ of the template nest in it, each with words of its own.
 
 Template tokens cut a page into slots. A block of words that are all the template's is no slot. Names break ties only:
 what stands in menus, headers, footers, sidebars, notices, adverts, forms and comments by its tag or class is left out
-though it varies, and what stands in a page's article or main element is kept though it recurs.
+though it varies; what stands in a page's article or main element is kept though it recurs, unless its class names
+boilerplate too.
 """
 
 from __future__ import annotations
@@ -57,12 +58,12 @@ _TAGS = (_hash("<"), _hash("</"))
 
 
 class Node:
-    """An open element: name, key and hash of its path, whether it is left out, and whether it may hold the main text."""
+    """An open element: name, key and hash of its path, whether it is left out, is of a main element, and of boilerplate in one by its class."""
 
-    __slots__ = ("name", "key", "at", "drop", "main")
+    __slots__ = ("name", "key", "at", "drop", "main", "named")
 
-    def __init__(self, name: str, key: str, drop: bool, main: bool):
-        self.name, self.key, self.drop, self.main = name, key, drop, main
+    def __init__(self, name: str, key: str, drop: bool, main: bool, named: bool):
+        self.name, self.key, self.drop, self.main, self.named = name, key, drop, main, named
         self.at = _hash(f"path {key}")
 
 
@@ -70,12 +71,14 @@ def _element(name: str, attrs: str, parent: Node) -> Node:
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip() else {}
     label = " ".join(found.get(k, "") for k in ("class", "id"))
     role = found.get("role", "").lower()
-    main = name in ("article", "main") or role == "main" or "article" in label.lower().split()
+    page = name in ("html", "body")
+    main = name in ("article", "main") or role == "main" or (not page and "article" in label.lower().split())
     hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
     header = name == "header" and not parent.main
-    drop = parent.drop or name in _DROPPED or header or hidden or role in _ROLES or (not main and name != "body" and name != "html" and bool(_BOILERPLATE.search(label)))
+    named = not main and not page and bool(_BOILERPLATE.search(label))
+    drop = parent.drop or name in _DROPPED or header or hidden or role in _ROLES or (named and not parent.main)
     mark = re.sub(r"\d+", "#", label)[:64]
-    return Node(name, f"{parent.key}/{name}" + (f".{mark}" if mark else ""), drop, main or parent.main)
+    return Node(name, f"{parent.key}/{name}" + (f".{mark}" if mark else ""), drop, main or parent.main, named or parent.named)
 
 
 def parse(page: str) -> Iterator[tuple[str, Node, str]]:
@@ -83,7 +86,7 @@ def parse(page: str) -> Iterator[tuple[str, Node, str]]:
 
     Elements that HTML closes by itself (p, li, cells) are closed here, as is a page that breaks off.
     """
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False)
     stack, at = [root], 0
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -153,25 +156,21 @@ def blocks(page: str | None, template: frozenset[int]) -> list[str]:
     The page's own main elements are read if the words of their slots are as many as those of all other slots, else all
     slots: a teaser or card in an article element does not stand for the page. A page without slots is read whole.
     """
-    events = list(parse(page or ""))
-    own = {n.key for k, n, _ in events if k == "open" and not n.drop and n.name in ("article", "main")}
-    out, held, inside = [], [], 0
+    out, held = [], []
 
     def flush() -> None:
         if line := _SPACE.sub(" ", "".join(text for _, text in held)).strip(" "):
             words = [node.at ^ _hash(word) for node, text in held for word in text.split()]
             slot = any(word not in template for word in words)
-            out.append((line, inside > 0, len(words) if slot else 0))
+            if slot or not all(node.named for node, text in held if text.strip()):
+                out.append((line, any(node.main for node, _ in held), len(words) if slot else 0))
         held.clear()
 
-    for kind, node, text in events:
-        if kind == "text":
-            if not node.drop:
-                held.append((node, text))
-        else:
+    for kind, node, text in parse(page or ""):
+        if kind != "text":
             flush()
-            if node.key in own and kind != "break":
-                inside += 1 if kind == "open" else -1
+        elif not node.drop:
+            held.append((node, text))
     flush()
     within = sum(n for _, main, n in out if main)
     if any(main for _, main, _ in out) and within >= sum(n for _, main, n in out if not main):

@@ -385,3 +385,9 @@ def test_html_teaser_article_beside_a_div(spark, teaser, own):
     want = [f"{own.format(i=i)}Title {i}\nThe text of t{i} is here" for i in range(6)]
     assert extracted(spark, htmls) == want
     assert ["\n".join(html_extract.blocks(h, frozenset())) for h in htmls] == want
+
+
+def test_html_boilerplate_names_in_the_main_element(spark):
+    """Inside an article a class name alone drops nothing; recurring text of such a class goes."""
+    htmls = [f"<body><article><div class='article-header'><h1>Title {i}</h1></div><p>Text t{i}</p><section class='related-work'><p>Work w{i}</p></section><div class='side-by-side'>Both b{i}</div><p class='alert'>Mind m{i}</p><div class='share'>Share this page</div><p>See also</p></article><div class='ad'>buy x{i}</div></body>" for i in range(6)]
+    assert extracted(spark, htmls) == [f"Title {i}\nText t{i}\nWork w{i}\nBoth b{i}\nMind m{i}\nSee also" for i in range(6)]
