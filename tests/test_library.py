@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridregimes.functions import special
 from gridregimes.operators import composites, fields, kriging, patterns, series, spectra
+from gridregimes.plans import catalog
 from gridregimes.sources import indices, tables
 
 FIELD = "variable string, time date, cell_id long, lat double, lon double, value double"
@@ -263,3 +265,20 @@ def test_one_exchange_serves_anomaly_and_low_pass(spark):
     df = yearly(spark, [1.0, 2.0]).repartition(4, "cell_id")
     plan = fields.low_pass(fields.monthly_anomaly(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_fit_and_kriging_take_500_points_a_group(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    pts = catalog.points(spark, sf, 500).cache()
+    assert {r["count"] for r in pts.groupBy("node_id").count().collect()} - {500} <= set(range(400, 500))
+    found = kriging.fit_variograms(kriging.empirical_variogram(pts, ["node_id"]), ["node_id"])
+    want = {(r.node_id, r.model): r.sse for r in found.collect()}
+    got = {(r.node_id, r.model): r.sse for r in catalog.QUERIES["g4_fit"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
+    used = kriging.use_model(found, kriging.best_model(found))
+    one = spark.createDataFrame([(10.0, 60.0)], "lat double, lon double")
+    want = {r.node_id: r.value for r in kriging.krige(pts, used, one, ["node_id"]).collect()}
+    got = {r.node_id: r.value for r in catalog.QUERIES["g6_kriging"](spark, sf).where("lat = 10 AND lon = 60").collect()}
+    assert got == pytest.approx(want, abs=1e-3)
