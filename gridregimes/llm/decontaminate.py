@@ -100,13 +100,14 @@ def offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(benchmark: DataFrame, max_bytes: int, item_col: str, text_col: str) -> list[list[tuple[str, str | None]]]:
-    """The items in groups of ``max_bytes`` at most (or of one item), each fetched by itself."""
+def _groups(benchmark: DataFrame, max_bytes: int, item_col: str, text_col: str) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
+    """The items in groups of ``max_bytes`` at most (or of one item), each fetched when it is asked for, and whether it is the last."""
     b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     size = b.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-2 * size // max_bytes)) if size > max_bytes else 1
     group = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [sorted((r["item"], r["text"]) for r in b.where(group == k).toLocalIterator()) for k in range(n)]
+    for k in range(n):
+        yield sorted((r["item"], r["text"]) for r in b.where(group == k).toLocalIterator()), k == n - 1
 
 
 _FOUND = "struct<n_words:long,n_hit:long,items:array<string>,words:array<struct<a:long,b:long>>,spans:array<struct<start:long,end:long>>>"
@@ -139,11 +140,10 @@ def find_benchmark_passages(docs: DataFrame, benchmark: DataFrame, window: int =
     benchmark hits nothing; items with a null id or text are ignored; of items repeated with one id all texts count.
     """
     spark = docs.sparkSession
-    groups = _groups(benchmark, max_bytes, item_col, item_text_col)
     out, found_at = docs, None
-    for k, items in enumerate(groups):
+    for k, (items, last) in enumerate(_groups(benchmark, max_bytes, item_col, item_text_col)):
         out = out.withColumn("found", _looker(items, window)(F.col(text_col), F.col("found") if k else F.lit(None).cast(_FOUND)))
-        if k < len(groups) - 1:
+        if not last:
             found_at = found_at or Scratch(spark, "decontaminate")
             out = found_at.write(out, f"group{k}")
     return out.withColumn("found", F.col("found").dropFields("words"))

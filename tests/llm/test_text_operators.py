@@ -391,3 +391,15 @@ def test_html_boilerplate_names_in_the_main_element(spark):
     """Inside an article a class name alone drops nothing; recurring text of such a class goes."""
     htmls = [f"<body><article><div class='article-header'><h1>Title {i}</h1></div><p>Text t{i}</p><section class='related-work'><p>Work w{i}</p></section><div class='side-by-side'>Both b{i}</div><p class='alert'>Mind m{i}</p><div class='share'>Share this page</div><p>See also</p></article><div class='ad'>buy x{i}</div></body>" for i in range(6)]
     assert extracted(spark, htmls) == [f"Title {i}\nText t{i}\nWork w{i}\nBoth b{i}\nMind m{i}\nSee also" for i in range(6)]
+
+
+def test_decontamination_fetches_groups_one_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{k}", f"w{k} " * 40) for k in range(12)] + [("hit", "beta gamma")], "item_id string, text string")
+    frame, seen = type(docs), []
+    for at, name in ((frame, "toLocalIterator"), (Scratch, "write")):
+        monkeypatch.setattr(at, name, lambda *a, f=getattr(at, name), name=name, **b: seen.append(name) or f(*a, **b))
+    row = decontaminate.find_benchmark_passages(docs, bench, 10, max_bytes=500).first()
+    n = seen.count("toLocalIterator")
+    assert n > 2 and seen == ["toLocalIterator", "write"] * (n - 1) + ["toLocalIterator"]
+    assert row.found["items"] == ["hit"]
