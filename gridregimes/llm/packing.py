@@ -126,8 +126,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
             return pa.RecordBatch.from_arrays([pa.array(doc, arrow_id), *longs, binaries([x.astype("<u4") for x in ids])], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, np.concatenate([tok.ids(text.as_py()), end]))
+            for doc, ids in zip(batch.column(0).to_pylist(), tok.batch(batch.column(1)), strict=True):
+                packer.add(doc, np.concatenate([ids, end]))
                 if len(packer.out) >= 2048:
                     yield flush()
         packer.cut_open()

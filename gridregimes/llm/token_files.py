@@ -1,7 +1,7 @@
 """Token files coded by canonical length-limited Huffman codes, and their reader.
 
-Writing: texts are encoded once and their ids kept in a scratch table; the ids' counts over the whole corpus give code
-lengths (package-merge, ``max_bits`` at most), from which canonical codes follow. Documents are put in id order over
+Writing: texts are encoded once and their ids kept in a scratch table, with the counts of each batch; the counts over
+the whole corpus give code lengths (package-merge, ``max_bits`` at most), from which canonical codes follow. Documents are put in id order over
 range partitions; each partition writes its files of segments.
 
 A folder holds ``codebook`` (symbol, bits: all a reader needs), ``segments`` and ``parts`` (ids in each part). A segment
@@ -126,15 +126,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer_path)
-        end = np.array([end_id], tok.dtype).tobytes()
+        end = np.array([end_id], tok.dtype)
         squeeze = pa.Codec("zstd", compression_level=1)
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for k in range(0, len(ids), 256):
-                part = [tok.ids(x.as_py()).tobytes() + end for x in batch.column(1)[k : k + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 256], pa.int64()), pa.array([len(x) for x in part], pa.int64()), binaries([squeeze.compress(x, asbytes=True) for x in part])], ["id", "size", "data"])
-
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tokenize, "id long, size long, data binary")
+            parts = [np.concatenate([x, end]) for x in tok.batch(batch.column(1))]
+            n = np.bincount(np.concatenate([np.empty(0, tok.dtype), *parts]))
+            seen = np.flatnonzero(n)
+            counts = pa.StructArray.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], ["symbol", "n"])
+            counts = pa.ListArray.from_arrays(pa.array([0] + [len(seen)] * len(parts), pa.int32()), counts)  # all in the first row
+            data = binaries([squeeze.compress(x.tobytes(), asbytes=True) for x in parts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(at, at + len(parts)), pa.int64()), pa.array([x.nbytes for x in parts], pa.int64()), data, counts], ["id", "at", "size", "data", "counts"])
+            at += len(parts)
+
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tokenize, "id long, at long, size long, data binary, counts array<struct<symbol:long,n:long>>")
     raw = scratch.write(raw, "ids")
 
     def unpack(batch: pa.RecordBatch, dtype: np.dtype) -> list[np.ndarray]:
@@ -144,17 +149,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     dtype = encoder(tokenizer_path).dtype
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            found = np.bincount(np.concatenate([np.empty(0, dtype), *unpack(batch, dtype)]))
-            if len(found) > len(total):
-                total = np.pad(total, (0, len(found) - len(total)))
-            total[: len(found)] += found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["symbol", "n"])
-
-    counts = raw.select("size", "data").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").toPandas()  # a row for each id of the vocabulary at most
+    counts = raw.select(F.explode("counts").alias("c")).groupBy("c.symbol").agg(F.sum("c.n").alias("n")).orderBy("symbol").toPandas()  # a row for each id of the vocabulary at most
     symbols = counts["symbol"].to_numpy(np.int64)
     max_bits = max(max_bits, (max(len(symbols), 2) - 1).bit_length())
     lengths = code_lengths(counts["n"].to_numpy(np.int64), max_bits)
@@ -186,7 +181,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         if held:
             yield row()
 
-    ordered = raw.repartitionByRange(partitions(spark), "id", F.xxhash64("data")).sortWithinPartitions("id")
+    ordered = raw.drop("counts").repartitionByRange(partitions(spark), "id", "at").sortWithinPartitions("id")
     ordered.mapInArrow(write, SEGMENTS).write.parquet(f"{folder}/segments")
     scratch.drop("ids")
     spark.read.schema(SEGMENTS).parquet(f"{folder}/segments").groupBy("part").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{folder}/parts")

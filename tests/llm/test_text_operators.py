@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,25 @@ def test_encoder_equals_library():
     odd = ["a  b", " x", " ", "\n\n a　 b \t c  ", "<|endoftext|> hi <|endoftext|>", "don't 'll we'll  'x", " é ü  z", "x \x1c y", "中文 字 🎉 🎉", "a _b -c  -d", "x '", "  "]
     for t in odd + [x for x in TEXTS if x]:
         assert enc.ids(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    rng = random.Random(4)
+    bits = ["a", "b", "The", " ", "  ", "\n", "\n\n", "\t", "\r", "'", "'s", "'re", "1", "22", ".", ",", "-é", "ß", "÷", "\0", "中", "_", "<|endoftext|>", " x", "A"]
+    mixed = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(4000)]
+    for t, ids in zip(mixed, enc.batch(pa.array(mixed)), strict=True):
+        assert ids.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_only_what_is_rare(monkeypatch):
+    monkeypatch.setattr(tokens, "REPEATED", 10)
+    monkeypatch.setattr(tokens, "NEW", 40)
+    enc = tokens.Encoder(TOK)
+    for k in range(60):
+        t = f"the of w{k} and " + " ".join(f"rare{chr(97 + j)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for j in range(10))
+        assert enc.ids(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(enc.words) <= 10 and len(enc.words.old) <= 10 and len(enc.words.new) <= 40
+    asked = []
+    ask, enc.words.ask = enc.words.ask, lambda w: asked.append(w) or ask(w)
+    enc.ids("the of")
+    assert not asked
 
 
 def test_packing(docs, empty):
