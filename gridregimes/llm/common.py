@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,11 @@ def lower_ascii(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir; a local folder only in local mode where that is unset, as in tests."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its machines share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         sc.setCheckpointDir(found)
@@ -73,6 +77,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], object]) -> object:
+    """The one large object (encoder, automaton) that a worker process keeps between tasks; another one takes its place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees what another operator's tasks have left in this worker process."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 #: Rows and bytes of a batch that goes to a Python worker, where the session's configuration does not say.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 

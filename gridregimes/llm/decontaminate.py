@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, held
 
 MAX_BENCHMARK_BYTES = 8 << 20
 #: Byte for byte: A-Z to a-z, other ASCII outside letters and digits to a space, the rest as it is.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
-_automata: dict[str, object] = {}
-
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
@@ -47,8 +45,8 @@ def patterns(items: list[tuple[str, str | None]], window: int) -> dict[bytes, li
 
 def automaton(items: list[tuple[str, str | None]], window: int) -> object:
     """One for each process and benchmark; its values are (words in the pattern, item numbers)."""
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-    if key not in _automata:
+
+    def build() -> object:
         import ahocorasick
 
         built = ahocorasick.Automaton()
@@ -56,9 +54,9 @@ def automaton(items: list[tuple[str, str | None]], window: int) -> object:
             built.add_word(pattern.decode("latin-1"), (pattern.count(b" ") - 1, own))
         if len(built):
             built.make_automaton()
-        _automata.clear()  # one at a time
-        _automata[key] = built
-    return _automata[key]
+        return built
+
+    return held(("automaton", hashlib.sha256(repr((items, window)).encode()).hexdigest()), build)
 
 
 def scan(text: str | None, built: object) -> tuple[int, list[tuple[int, int]], set[int]]:

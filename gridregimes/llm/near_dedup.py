@@ -8,10 +8,12 @@
    similarity estimated by counting equal bits (corrected for the 1 in 4 that agree by chance) is not five standard
    deviations low. So a bucket of k classes gives k pairs, and most families are connected by them.
 3. In each bucket that still has members of several components, one member of each component is paired with one of the
-   bucket's largest component, twice over.
-4. In the buckets that still have several components, the members outside the largest one meet all members, once in the
-   first bucket the two share. The join's condition compares sizes, then bits, then the full sets, which the members
-   carry by now; only links come out of it. So any two classes that share a band have been compared or are connected.
+   bucket's largest component.
+4. The members of buckets that still have several components meet by their rarest shingles. In an order common to all
+   sets, two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of each; the order puts the rarest
+   first, by counts in hashed slots, so sets that only share common passages do not meet. Of those that share such a
+   shingle the members outside the largest component meet the others, by sizes and bits alone; the different pairs that
+   are left are confirmed on the sets. So any two classes that share a band have been compared or are connected.
 
 At a similarity of 0.8 two sets share no band with a probability of 4e-7.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, release, small
 from .components import components
 
 BANDS, ROWS, MINIMA = 28, 4, 256
@@ -40,6 +42,8 @@ _MULTIPLY = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * 2 + 1)[:, None
 _ADD = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNK = 2048
+#: Slots of shingle counts: what a task gets of them has 8 MB, whatever the corpus.
+SLOTS = 1 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -101,6 +105,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     schema = f"id long, n long, key binary, {', '.join(f'{s} long' for s in BITS)}, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n, keys, bits, bands = [], [], [], []
             for text in batch.column(1):
@@ -132,6 +137,38 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("node", F.encode("text", "utf-8").alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all ``sets`` fall into each of ``SLOTS`` slots."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        slots = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n[slots])], ["slot", "n"])
+
+    got = sets.select("shingles").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, shingles) cut to the first n - ceil(n percent / 100) + 1 shingles, those of the least frequent slots first."""
+    counts = slot_counts(sets)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                x = x.values.to_numpy()
+                order = np.lexsort((x, counts[x & (SLOTS - 1)]))
+                out.append(x[order[: len(x) - -(-percent * len(x) // 100) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return sets.select("node", "shingles").mapInArrow(cut, "node long, shingles array<long>")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union; ``texts`` has (node, text)."""
 
@@ -156,8 +193,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept.
 
-    A null or empty text has no shingles and no links. Ids are longs and meant to be unique; a row with a null id has no
-    links, a null component and stays. Classes of equal sets are linked without being expanded into pairs.
+    A null or empty text has no shingles and no links. Ids are longs; a row with a null id has no links, a null
+    component and stays. Rows with one id are one document, which is linked if any of its texts with words is. Classes
+    of equal sets are linked without being expanded into pairs. An empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near_dedup")
@@ -181,6 +219,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     texts = scratch.write(texts.join(small(wanted, 16 * wanted.count()), "node", "left_semi"), "texts")
     tried, roots, steps = [], None, 0
 
+    # ids that stand in several classes link them
+    twice = live.groupBy("id").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("id")
+    again = live.join(twice, "id", "left_semi").join(classes.select("key", "node"), "key").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+
     def link(pairs: DataFrame) -> bool:
         """Confirms pairs (a > b) that have not been tried and may be similar, and joins the components they connect."""
         nonlocal roots, steps
@@ -201,59 +243,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         roots = scratch.write(components(new, scratch, f"round{steps}_"), f"roots{steps}")
         return True
 
-    def mixed(name: str) -> DataFrame:
-        """Members (bucket, band, node, c) of buckets with several components c."""
-        rows = met.select("bucket", "band", "node").join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
-        several = rows.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-        return scratch.write(rows.join(several, "bucket"), name)
+    def mixed(rows: DataFrame, key: str, name: str) -> DataFrame:
+        """Rows (key, node) whose key has members of several components, with their component c."""
+        rows = rows.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
+        several = rows.groupBy(key).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select(key)
+        return scratch.write(rows.join(several, key), name)
 
-    def largest(rows: DataFrame) -> DataFrame:
-        """(bucket, c, rep, main, main_rep) of each component in each bucket, and the bucket's largest component."""
-        own = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep"))
-        main = own.groupBy("bucket").agg(F.max(F.struct("size", "c", "rep")).alias("m")).select("bucket", F.col("m.c").alias("main"), F.col("m.rep").alias("main_rep"))
-        return own.join(main, "bucket")
+    def largest(rows: DataFrame, key: str) -> DataFrame:
+        """(key, c, rep, main, main_rep) of each component under each key, and the key's largest component."""
+        own = rows.groupBy(key, "c").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("rep"))
+        main = own.groupBy(key).agg(F.max(F.struct("size", "c", "rep")).alias("m")).select(key, F.col("m.c").alias("main"), F.col("m.rep").alias("main_rep"))
+        return own.join(main, key)
 
     def ordered(a: str, b: str) -> list[Column]:
         return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
+    again = scratch.write(again, "again")
+    if again.limit(1).count():
+        join_links(again)
     shared = met.where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("times"))
     link(shared.groupBy("node").agg(F.max(F.struct("times", (-F.col("low")).alias("low"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.low")).alias("b")))
-    rows = mixed("mixed0")
-    for turn in (1, 2):
-        pairs = largest(rows).where("c <> main").select(*ordered("rep", "main_rep")).distinct()
-        if link(pairs):
-            rows = mixed(f"mixed{turn}")
-        else:
-            break
-    if rows.limit(1).count():
-        steps += 1
-        sets = full_sets(texts.join(rows.select("node").distinct(), "node", "left_semi"), k)
-        known = scratch.write(classes.join(sets, "node").select("node", "n", *BITS, "bands", "shingles"), "sets")
-
-        def member_of(name: str) -> DataFrame:
-            own = known.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(x).alias(f"{name}{x[1:]}") for x in BITS), F.col("bands").alias(f"bands_{name}"), F.col("shingles").alias(f"shingles_{name}"))
-            return rows.select(F.col("bucket").alias(f"bucket_{name}"), "band", F.col("node").alias(name), F.col("c").alias(f"c_{name}")).join(own, name)
-
-        main = largest(rows).select("bucket", "main").distinct()
-        outside = member_of("a").join(main, F.col("bucket_a") == main["bucket"]).where("c_a <> main").drop("bucket")
-        inside = member_of("b").drop("band")
-        once = (F.col("c_b") == F.col("main")) | (F.col("a") > F.col("b"))  # two outside members meet from either side
-        first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
-        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        linked = 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
-        rest = outside.join(inside, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("c_a") != F.col("c_b")) & once & may & first & linked)
-        join_links(rest.select(*ordered("a", "b")))
+    rows = mixed(met.select("bucket", "node"), "bucket", "mixed0")
+    if link(largest(rows, "bucket").where("c <> main").select(*ordered("rep", "main_rep")).distinct()):
+        rows = mixed(met.select("bucket", "node"), "bucket", "mixed1")
+    rest = scratch.write(rows.select("node").distinct(), "rest")
+    if rest.limit(1).count():
+        sets = scratch.write(full_sets(texts.join(rest, "node", "left_semi"), k), "sets")
+        rows = mixed(rarest(sets, percent).select("node", F.posexplode("shingles").alias("at", "shingle")), "shingle", "by_shingle")
+        rows = scratch.write(rows.join(classes.select("node", "n", *BITS), "node"), "rows")
+        main = largest(rows, "shingle").select("shingle", "main").distinct()
+        a = rows.join(main, "shingle").where("c <> main").select("shingle", "main", *(F.col(x).alias(f"{x}_a") for x in ("node", "c", "n", "at")), *(F.col(x).alias(f"a{x[1:]}") for x in BITS))
+        b = rows.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "c", "n", "at")), *(F.col(x).alias(f"b{x[1:]}") for x in BITS))
+        once = (F.col("c_b") == F.col("main")) | (F.col("node_a") > F.col("node_b"))  # two outside members meet from either side
+        # what two similar sets share begins with their first common shingle, so it is not far on in either
+        left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        near = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
+        pairs = a.join(b, "shingle").where((F.col("c_a") != F.col("c_b")) & once & near & may).select(*ordered("node_a", "node_b")).distinct()
+        link(pairs)
 
     of_class = classes.select("node", "key").join(roots.where("node <> root"), "node").select("key", "root")
     named = classes.select("key", "node").join(of_class, "key", "left").select("key", F.coalesce("root", "node").alias("component_id"))
     out = sigs.join(named, "key", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
-    for name in ("met", "texts", "sets", "mixed0", "mixed1", "mixed2"):
+    for name in ("met", "texts", "sets", "mixed0", "mixed1", "by_shingle", "rows"):
         scratch.drop(name)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest id."""
+    """The rows of ``docs`` that stay, with all their columns: of each component those with the smallest id.
+
+    An id goes with all its rows. Nulls, empty and repeated rows are as in :func:`near_duplicates`.
+    """
     found = near_duplicates(docs, k, percent, id_col, text_col)
     gone = found.where(~F.col("kept")).select(F.col(id_col).alias("gone")).distinct()
     gone = Scratch(docs.sparkSession, "near_gone").write(gone, "ids")

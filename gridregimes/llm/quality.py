@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import release, small
 
 MAX_ROWS = 20_000
 _LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
@@ -138,6 +138,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, label_col:
     sample = small(labelled_sample(labels, label_col, allowed, max_rows, id_col), 16 * max_rows)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "x": list(matrix(b["text"]).astype(np.float64))})
 
@@ -152,6 +153,7 @@ def score_quality(text: Column, trees: Trees) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         for texts in batches:
             yield pd.Series(trees.score(matrix(texts)), dtype="float64")
 

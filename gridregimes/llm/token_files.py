@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
-from .tokens import binaries, encoder
+from .tokens import binaries, encoder, id_type
 
 BLOCK = 256
 #: Ids after which a segment ends; it ends with a document, so one long document makes a longer segment.
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         sizes, data = batch.column(batch.schema.get_field_index("size")).to_pylist(), batch.column(batch.schema.get_field_index("data"))
         return [np.frombuffer(codec.decompress(x.as_buffer(), n), dtype) for x, n in zip(data, sizes, strict=True)]
 
-    dtype = encoder(tokenizer_path).dtype
+    dtype = id_type(tokenizer_path)
 
     counts = raw.select(F.explode("counts").alias("c")).groupBy("c.symbol").agg(F.sum("c.n").alias("n")).orderBy("symbol").toPandas()  # a row for each id of the vocabulary at most
     symbols = counts["symbol"].to_numpy(np.int64)

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 #: Before a space that a letter, digit or visible ASCII character follows.
 _CUT = re.compile(r"(?= [\w!-~])")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -38,9 +40,6 @@ REPEATED, NEW, LONGEST = 250_000, 200_000, 32
 #: Bytes of text encoded at once (or one longer text).
 AT_ONCE = 2 << 20
 
-_encoders: dict[str, "Encoder"] = {}
-
-
 def _byte_names() -> str:
     """Byte-level BPE writes a byte as its Latin-1 character if that is visible, else as the next one from 256 on."""
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
@@ -76,12 +75,16 @@ class _Words(dict):
         return ids
 
 
+def _dtype(tokenizer: object) -> np.dtype:
+    return np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = _dtype(t)
         pre = t.pre_tokenizer
         self.by_word = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
         self.model, self.code, self.names = t.model, {2: "H", 4: "I"}[self.dtype.itemsize], _byte_names()
@@ -147,10 +150,15 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each process and file; workers that are used again keep it."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each process and file; workers that are used again keep it until another operator needs them."""
+    return held(("encoder", path), lambda: Encoder(path))
+
+
+def id_type(path: str) -> np.dtype:
+    """The type of an encoder's ids."""
+    from tokenizers import Tokenizer
+
+    return _dtype(Tokenizer.from_file(path))
 
 
 def binaries(parts: list[np.ndarray] | list[bytes]) -> pa.Array:

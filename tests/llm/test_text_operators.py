@@ -287,6 +287,47 @@ def test_near_duplicates_chain_in_one_bucket(spark, empty):
     assert sorted(str(r.doc_id) for r in near_dedup.drop_near_duplicates(df, 2, 80).collect()) == sorted([*(str(i) for i, w in enumerate(want) if i == w), "None", "99"])
 
 
+def test_near_duplicates_of_rows_with_one_id(spark):
+    """Rows with one id are one document, linked if any of its texts is."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{n}{rng.random()}" for _ in range(60)) for n in "abc")
+    df = spark.createDataFrame([(5, a), (5, b), (7, a + " more"), (9, b + " more"), (3, b), (4, c), (4, c), (6, None), (6, c + " x"), (8, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles > 0): (r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 2, 80).collect()}
+    assert got == {(5, True): (3, False), (7, True): (3, False), (9, True): (3, False), (3, True): (3, True), (4, True): (4, True), (6, False): (6, True), (6, True): (4, False), (8, False): (8, True)}
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df, 2, 80).collect()) == [3, 4, 4, 8]
+
+
+def test_rarest_shingles_of_similar_sets_meet(spark, monkeypatch):
+    """Of two similar sets the first common shingle stands so far in front that what follows can make up the overlap."""
+    monkeypatch.setattr(near_dedup, "SLOTS", 64)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, 120)
+    sets = [np.unique(np.r_[rng.permutation(base)[: int(rng.integers(95, 121))], rng.integers(0, 1 << 62, int(rng.integers(0, 30)))]) for _ in range(60)]
+    df = spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(sets)], "node long, shingles array<long>").repartition(3)
+    cut = {r.node: r.shingles for r in near_dedup.rarest(df, 80).collect()}
+    similar = 0
+    for i, x in enumerate(sets):
+        assert len(cut[i]) == len(x) - -(-80 * len(x) // 100) + 1 and set(cut[i]) <= set(x.tolist())
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                similar += 1
+                first = next(s for s in cut[i] if s in cut[j])
+                assert min(len(x) - cut[i].index(first), len(y) - cut[j].index(first)) >= both
+    assert similar > 50
+
+
+def test_near_duplicates_that_share_a_passage(spark):
+    """Texts that share a passage of two thirds of their words share buckets, but no link; copies among them do."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(120))
+    texts = [f"{' '.join(f'u{rng.random()}' for _ in range(rng.randint(30, 60)))} {passage}" for _ in range(60)]
+    texts += [t + " end of it" for t in texts[:10]]
+    sizes, want = components_of(texts, 2, 80)
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2, 80).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == want and len(set(want)) == 60
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(2)
     both = rng.integers(0, 1 << 63, 800, dtype=np.uint64)
