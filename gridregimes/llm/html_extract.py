@@ -3,7 +3,8 @@
 A page's tokens are its tags and the words of its text, each told apart by the path of elements it stands in. Tokens
 that occur on the same pages of a host, each equally often on all of them, are an equivalence class. Pages are compared
 by order-free sums of hashes, so classes come from one aggregation with partial sums and no host's pages are ever
-gathered. A class is valid if an element opens and closes once in it, on three pages at least (``SUPPORT``). A word is
+gathered. Tokens that share all pages share those that a task has seen of them, so a task hands on only the words that
+agree with some tag on its own pages. A class is valid if an element opens and closes once in it, on three pages at least (``SUPPORT``). A word is
 the template's if it is of a valid class and stands within such an element of it; so classes of pages that lack parts
 of the template nest in it, each with words of its own.
 
@@ -21,13 +22,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, release, small
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0  -     　]+")
 
@@ -42,8 +44,12 @@ _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo|promotion|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-list|disqus|replies|reply|respond|widget|toolbar|pagination|pager|skip|copyright|disclaimer|gdpr)(?:$|[\s_-]|\d)", re.I)
 #: Pages that a class must be on; on fewer, what pages share is no evidence of a template.
 SUPPORT = 3
-#: Tokens that a task sums up before it hands on the partial sums.
-HELD = 200_000
+#: Occurrences of tokens that a task gathers before it hands on the partial sums: some 30 MB.
+HELD = 500_000
+#: Elements nested more deeply share the path of this level, so that paths stay as short as pages are long.
+DEEPEST = 60
+#: Hosts whose templates a task remembers.
+HOSTS = 256
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 
@@ -58,12 +64,12 @@ _TAGS = (_hash("<"), _hash("</"))
 
 
 class Node:
-    """An open element: name, key and hash of its path, whether it is left out, is of a main element, and of boilerplate in one by its class."""
+    """An open element: name, key and hash of its path, depth, whether it is left out, is of a main element, and of boilerplate in one by its class."""
 
-    __slots__ = ("name", "key", "at", "drop", "main", "named")
+    __slots__ = ("name", "key", "at", "depth", "drop", "main", "named")
 
-    def __init__(self, name: str, key: str, drop: bool, main: bool, named: bool):
-        self.name, self.key, self.drop, self.main, self.named = name, key, drop, main, named
+    def __init__(self, name: str, key: str, depth: int, drop: bool, main: bool, named: bool):
+        self.name, self.key, self.depth, self.drop, self.main, self.named = name, key, depth, drop, main, named
         self.at = _hash(f"path {key}")
 
 
@@ -77,8 +83,10 @@ def _element(name: str, attrs: str, parent: Node) -> Node:
     header = name == "header" and not parent.main
     named = not main and not page and bool(_BOILERPLATE.search(label))
     drop = parent.drop or name in _DROPPED or header or hidden or role in _ROLES or (named and not parent.main)
-    mark = re.sub(r"\d+", "#", label)[:64]
-    return Node(name, f"{parent.key}/{name}" + (f".{mark}" if mark else ""), drop, main or parent.main, named or parent.named)
+    mark = re.sub(r"\d+", "#", label)
+    mark = f".{mark}" if 0 < len(mark) <= 64 else mark and f".{_hash(mark):x}"
+    key = f"{parent.key}/{name}{mark}" if parent.depth < DEEPEST else parent.key
+    return Node(name, key, parent.depth + 1, drop, main or parent.main, named or parent.named)
 
 
 def parse(page: str) -> Iterator[tuple[str, Node, str]]:
@@ -86,17 +94,17 @@ def parse(page: str) -> Iterator[tuple[str, Node, str]]:
 
     Elements that HTML closes by itself (p, li, cells) are closed here, as is a page that breaks off.
     """
-    root = Node("", "", False, False, False)
+    root = Node("", "", 0, False, False, False)
     stack, at = [root], 0
     while m := _TOKEN.match(page, at):
         at = m.end()
-        name = (m["tag"] or "").lower()
+        name = (m["tag"] or m["tag2"] or "").lower()
         if m["text"] is not None or m["cdata"] is not None:
             yield "text", stack[-1], html.unescape(m["text"]) if m["text"] is not None else m["cdata"]
             continue
         if not name:
             continue
-        if m["close"]:
+        if m["close"] or m["close2"]:
             if name in _INLINE:
                 continue
             level = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
@@ -121,33 +129,54 @@ def parse(page: str) -> Iterator[tuple[str, Node, str]]:
                 break
             if stack[i].name in stops:
                 break
-        node = _element(name, m["attrs"], stack[-1])
+        node = _element(name, m["attrs"] or "", stack[-1])
         stack.append(node)
         yield "open", node, ""
-        if name in _RAW and not m["attrs"].rstrip().endswith("/"):
+        if name in _RAW and not (m["attrs"] or "").rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)  # what it holds is not markup
     while len(stack) > 1:
         yield "close", stack.pop(), ""
 
 
-def token_counts(page: str | None) -> dict[int, list]:
-    """[how often, kind, element] of each token in the page; words of what is left out anyway are not counted."""
-    found: dict[int, list] = {}
+def tokens_of(page: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, tuple[int, Node]]]:
+    """(token, how often, element's hash) of each token in the page, and (side, element) of its tags; words of what is left out anyway are not counted."""
+    tags: dict[int, tuple[int, Node]] = {}
+    found, ats, words, sizes, places = [], [], [], [], []
     for kind, node, text in parse(page or ""):
         if kind == "text":
-            if not node.drop:
-                at = node.at
-                for word in text.split():
-                    token = at ^ _hash(word)
-                    if token in found:
-                        found[token][0] += 1
-                    else:
-                        found[token] = [1, _WORD, node]
+            if not node.drop and (own := text.split()):
+                words += own
+                sizes.append(len(own))
+                places.append(node.at)
         elif kind != "break":
             side = _CLOSE if kind == "close" else _OPEN
-            found.setdefault(node.at ^ _TAGS[side], [0, side, node])[0] += 1
-    return found
+            token = node.at ^ _TAGS[side]
+            tags[token] = side, node
+            found.append(token)
+            ats.append(node.at)
+    within = np.repeat(np.array(places, np.int64), sizes)
+    token, first, n = np.unique(np.r_[np.array(found, np.int64), np.fromiter(map(_hash, words), np.int64, len(words)) ^ within], return_index=True, return_counts=True)
+    return token, n, np.r_[np.array(ats, np.int64), within][first], tags
+
+
+def partial_sums(held: list[tuple], tags: dict[int, tuple[int, Node]]) -> pa.RecordBatch:
+    """Sums over pages of the tags, and of the words that are on the same pages, of those held, as one of their host's tags."""
+    host, token, at, n, a, b = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((token, host))
+    host, token, at, n, a, b = (x[order] for x in (host, token, at, n, a, b))
+    starts = np.flatnonzero(np.r_[True, (host[1:] != host[:-1]) | (token[1:] != token[:-1])])
+    host, token, at = host[starts], token[starts], at[starts]
+    support = np.diff(np.r_[starts, len(n)])
+    least, most = np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
+    a, b = np.add.reduceat(a, starts), np.add.reduceat(b, starts)
+    is_tag = np.isin(token, np.fromiter(tags, np.int64, len(tags)))
+    vector = np.stack([host, a, b, support], axis=1).astype("<i8").view("V32").ravel()
+    keep = np.flatnonzero(is_tag | ((least == most) & np.isin(vector, vector[is_tag & (most == 1)])))
+    tag = [tags.get(t) if k else None for t, k in zip(token[keep].tolist(), is_tag[keep].tolist(), strict=True)]
+    longs = [pa.array(x[keep].astype(np.int64)) for x in (host, token, at, a, b, support, least, most)]
+    kind, path = pa.array([_WORD if x is None else x[0] for x in tag], pa.int32()), pa.array([None if x is None else x[1].key for x in tag], pa.string())
+    return pa.RecordBatch.from_arrays([*longs, kind, path], ["host", "token", "at", "a", "b", "support", "least", "most", "kind", "path"])
 
 
 def blocks(page: str | None, template: frozenset[int]) -> list[str]:
@@ -160,10 +189,10 @@ def blocks(page: str | None, template: frozenset[int]) -> list[str]:
 
     def flush() -> None:
         if line := _SPACE.sub(" ", "".join(text for _, text in held)).strip(" "):
-            words = [node.at ^ _hash(word) for node, text in held for word in text.split()]
-            slot = any(word not in template for word in words)
+            words = [(node.at, text.split()) for node, text in held]
+            slot = any(at ^ _hash(word) not in template for at, own in words for word in own)
             if slot or not all(node.named for node, text in held if text.strip()):
-                out.append((line, any(node.main for node, _ in held), len(words) if slot else 0))
+                out.append((line, any(node.main for node, _ in held), sum(len(own) for _, own in words) if slot else 0))
         held.clear()
 
     for kind, node, text in parse(page or ""):
@@ -189,36 +218,24 @@ def templates(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_c
     words occur equally often on each, and within an element of the class.
     """
     rows = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("page"), F.col(html_col).alias("html"))
-    names = ["host", "token", "kind", "at", "path", "a", "b", "support", "least", "most"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], list] = {}
-
-        def partial() -> pa.RecordBatch:
-            columns = zip(*((*key, *own) for key, own in sums.items())) if sums else [()] * len(names)
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-            sums.clear()
-            return batch
-
+        release()
+        held, tags, size = [], {}, 0
         for batch in batches:
             for h, p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                a, b = p & 0x7FFFFFFF, p >> 32 & 0x7FFFFFFF
-                for token, (n, kind, node) in token_counts(x.as_py()).items():
-                    own = sums.get((h, token))
-                    if own is None:
-                        sums[h, token] = [kind, node.at, None if kind == _WORD else node.key, a, b, 1, n, n]
-                    else:
-                        own[3] += a
-                        own[4] += b
-                        own[5] += 1
-                        own[6] = min(own[6], n)
-                        own[7] = max(own[7], n)
-                if len(sums) > HELD:
-                    yield partial()
-        yield partial()
-
-    tokens = rows.mapInArrow(count, "host long, token long, kind int, at long, path string, a long, b long, support long, least long, most long")
+                token, n, at, own = tokens_of(x.as_py())
+                if len(token):
+                    tags |= own
+                    held.append((np.full(len(token), h), token, at, n, np.full(len(token), p & 0x7FFFFFFF), np.full(len(token), p >> 32 & 0x7FFFFFFF)))
+                    size += len(token)
+                if size > HELD:
+                    yield partial_sums(held, tags)
+                    held, tags, size = [], {}, 0
+        if held:
+            yield partial_sums(held, tags)
+
+    tokens = rows.mapInArrow(count, "host long, token long, at long, a long, b long, support long, least long, most long, kind int, path string")
     whole = [f(c).alias(c) for f, cs in ((F.sum, ("a", "b", "support")), (F.min, ("least",)), (F.max, ("most",))) for c in cs]
     vectors = tokens.groupBy("host", "token", "kind", "at", "path").agg(*whole)
     vectors = scratch.write(vectors.where((F.col("support") >= SUPPORT) & ((F.col("least") == F.col("most")) | (F.col("kind") == _OPEN))), "vectors")
@@ -242,12 +259,21 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     found = scratch.write(templates(pages, scratch, id_col, url_col, html_col), "templates")
     size = found.select(F.coalesce(F.sum(8 * F.size("words") + 64), F.lit(0))).first()[0]
 
-    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for htmls, words in batches:
-            yield pa.array(["\n".join(blocks(x.as_py(), frozenset(w.as_py() or ()))) for x, w in zip(htmls, words, strict=True)], pa.string())
+    def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        release()
+        known: dict[int, frozenset[int]] = {}
+        for htmls, hosts, words in batches:
+            out = []
+            for x, host, w in zip(htmls, hosts.to_pylist(), words, strict=True):
+                if host not in known:
+                    if len(known) >= HOSTS:
+                        known.clear()
+                    known[host] = frozenset(w.as_py() or ())
+                out.append("\n".join(blocks(x.as_py(), known[host])))
+            yield pa.array(out, pa.string())
 
     # the page is one column meanwhile, so that none of its own names can clash
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.xxhash64(host_of(F.col(url_col))).alias("host"), F.col(html_col).alias("html"))
     joined = rows.join(small(found.withColumnRenamed("host", "of_host"), size), F.col("host") == F.col("of_host"), "left")
-    joined = joined.select("row", F.arrow_udf(read, "string")(F.col("html"), F.col("words")).alias("text"))
+    joined = joined.select("row", F.arrow_udf(read, "string")(F.col("html"), F.col("host"), F.col("words")).alias("text"))
     return joined.select(*[F.col(f"row.`{c}`") for c in pages.columns if c != "main_text"], F.col("text").alias("main_text"))

@@ -35,8 +35,8 @@ _CUTS = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|[\t\n\r]
 #: A space that no visible character follows.
 _LOOSE = re.compile(r" (?!\S)")
 #: Words that a process remembers: those seen twice in two generations of ``REPEATED`` at most, and the last new ones.
-#: A word takes some 130 bytes, so all take 95 MB at most. Longer words than ``LONGEST`` characters are not remembered.
-REPEATED, NEW, LONGEST = 250_000, 200_000, 32
+#: A word takes some 130 bytes, so all take 52 MB at most. Longer words than ``LONGEST`` characters are not remembered.
+REPEATED, NEW, LONGEST = 150_000, 100_000, 32
 #: Bytes of text encoded at once (or one longer text).
 AT_ONCE = 2 << 20
 

@@ -425,6 +425,11 @@ def test_html(spark, empty):
         assert r.main_text == PAGES[r.page_id][2], r.page_id
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
     assert html_extract.blocks("<article>" + "<p>x" * 20_000, frozenset()) == ["x"] * 20_000
+    assert html_extract.blocks("<article><p class=\"x>hi</p>", frozenset()) == ["hi"]  # a quote that nothing closes
+    deep = list(html_extract.parse("<div class='c'>" * 5000 + "low"))
+    assert max(len(node.key) for _, node, _ in deep) < 600 and "".join(text for _, _, text in deep) == "low"
+    long = [next(html_extract.parse(f"<div class='{'a' * 200}{x}'>"))[1].key for x in "xy"]
+    assert long[0] != long[1]
 
 
 def extracted(spark, htmls):
@@ -440,6 +445,43 @@ def test_html_template_without_names(spark):
     assert extracted(spark, htmls[:1] * 4) == ["Home News\nTitle 0\nText t0 of u0\nAll rights reserved"] * 4  # no slots
 
 
+def template_by_brute_force(htmls):
+    """Words on the same pages, equally often, as an element around them that is once on each, by sets of pages."""
+    where, inside = defaultdict(dict), {}
+    for i, page in enumerate(htmls):
+        stack = []
+        for kind, node, text in html_extract.parse(page):
+            if kind == "open":
+                stack.append(node.key)
+            elif kind == "close":
+                where["close", stack.pop()].setdefault(i, 0)
+            if kind in ("open", "close"):
+                own = where[kind, node.key]
+                own[i] = own.get(i, 0) + 1
+            for word in text.split() if not node.drop else ():
+                own = where["word", node.key, word]
+                own[i] = own.get(i, 0) + 1
+                inside[node.key, word] = list(stack)
+    valid = {k[1]: set(v) for k, v in where.items() if k[0] == "open" and len(v) >= 3 and set(v.values()) == {1} and where["close", k[1]] == v}
+    return {(k[1], k[2]) for k, v in where.items() if k[0] == "word" and len(set(v.values())) == 1 and any(valid.get(e) == set(v) for e in inside[k[1], k[2]])}
+
+
+@pytest.mark.parametrize("held", [1, 500_000])
+def test_html_templates_against_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(html_extract, "HELD", held)
+    rng = random.Random(6)
+    parts = ["<div class='m'>Home News</div>", "<div class='n'>We use biscuits</div>", "<p>same line</p>", "<ul class='l'><li>one two</li></ul>"]
+    hosts = {f"h{h}.example": [f"<body>{''.join(x for x in parts if rng.random() < 0.7)}<div class='t'>By a{rng.random()} on site</div><p>w{i} text {rng.choice('xyz')}</p></body>" for i in range(rng.randint(2, 9))] for h in range(6)}
+    rows = [(f"http://{h}/{i}", x) for h, pages in hosts.items() for i, x in enumerate(pages)]
+    pages = spark.createDataFrame([(i, u, x) for i, (u, x) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    names = {r.h: r.host for r in spark.createDataFrame([(h,) for h in hosts], "host string").select("host", F.xxhash64("host").alias("h")).collect()}
+    got = {names[r.host]: set(r.words) for r in html_extract.templates(pages, Scratch(spark, "test")).collect()}
+    for h, own in hosts.items():
+        want = {html_extract._hash(f"path {key}") ^ html_extract._hash(word) for key, word in template_by_brute_force(own)}
+        assert got.get(h, set()) == want
+    assert sum(map(len, got.values())) > 20
+
+
 @pytest.mark.parametrize("teaser, own", [("<aside><article><p>Teaser {i}</p></article></aside>", ""), ("<div class='related'><article>Card {i}</article></div>", ""), ("<article><p>Card {i}</p></article>", "Card {i}\n")])
 def test_html_teaser_article_beside_a_div(spark, teaser, own):
     htmls = [f"<body>{teaser.format(i=i)}<div class='c'><h1>Title {i}</h1><p>The text of t{i} is here</p></div></body>" for i in range(6)]
