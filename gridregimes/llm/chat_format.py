@@ -42,7 +42,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     line = Window.partitionBy("conv_id", "turn").orderBy("at")
     e = e.withColumn("message", F.sum(F.when(F.col("kind") == "message", 1).otherwise(0)).over(line))
     # a regeneration of an earlier turn drops what had been said in later turns until then
-    later = Window.partitionBy("conv_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("conv_id").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)  # from the end, so that each row adds to a running minimum
     e = e.withColumn("redone", F.min(F.when(F.col("kind") == "regenerate", F.col("turn"))).over(later)).where(F.coalesce(F.col("turn") <= F.col("redone"), F.lit(True)))
     reset = F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("at"))).over(Window.partitionBy("conv_id", "turn", "message"))
     e = e.withColumn("reset", F.coalesce(reset, F.lit(0)))
@@ -59,10 +59,11 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_mask: [(turn, skip, start, length)].
 
     A span covers one escaped text of ``loss_role``: ``start`` in code points of ``formatted``, ``skip`` in those of its
-    turn. Messages are ordered by position. A conversation is one string, as its readers need it.
+    turn. Messages are ordered by position. A conversation is one string, as its readers need it, whatever its length; a
+    null role or text, as fold_events never gives, counts as empty, and no messages give no rows.
     """
-    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
-    rows = messages.select("conv_id", "position", "role", head.alias("head"), escape(F.col("text")).alias("body"))
+    head = F.concat(F.lit(TURN), escape(F.coalesce("role", F.lit(""))), F.lit(TEXT))
+    rows = messages.select("conv_id", "position", F.coalesce("role", F.lit("")).alias("role"), head.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"))
     rows = rows.withColumns({"skip": F.length("head").cast("long"), "size": F.length("body").cast("long")})
     order = Window.partitionBy("conv_id").orderBy("position")
     rows = rows.withColumns({"turn": (F.row_number().over(order) - 1).cast("long"), "at": F.coalesce(F.sum(F.col("skip") + F.col("size") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
@@ -75,7 +76,7 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 def read_back(rendered: DataFrame) -> DataFrame:
     """From ``formatted`` and ``loss_mask`` alone: turns [(role, text)], loss_text and formatted_chars, unescaped.
 
-    Control strings occur in ``formatted`` only as marks, so it is split at them.
+    Control strings occur in ``formatted`` only as marks, so it is split at them. A null ``formatted`` gives nulls.
     """
     turns = F.split(F.col("formatted"), r"\Q" + END + r"\E")
     shown = F.slice(turns, F.lit(1), F.greatest(F.size(turns) - 1, F.lit(0)))  # what follows the last end is empty

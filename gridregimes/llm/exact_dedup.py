@@ -31,15 +31,15 @@ def filter_bits(rows: int, max_bits: int = MAX_FILTER_BITS) -> int:
     return min(max_bits, max(BITMAP_BITS, 1 << (16 * max(rows, 1) - 1).bit_length()))
 
 
-def repeated_bits(hashes: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap): the filter's bits that more than one probe has set. At most ``bits`` / 8 bytes in all."""
+def filter_of(hashes: DataFrame, bits: int, least: int = 2) -> DataFrame:
+    """(bucket, bitmap): the filter's bits that ``least`` probes or more have set. At most ``bits`` / 8 bytes in all."""
     probes = hashes.select(F.explode(F.array(*_positions(F.col("h"), bits))).alias("pos"))
-    twice = probes.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = probes.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return twice.groupBy(F.floor(F.col("pos") / BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("pos") % BITMAP_BITS).alias("bitmap"))
 
 
-def mark_repeated(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """Adds ``maybe``: false only if no other row has the same ``h``."""
+def mark(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """Adds ``maybe``: false only if a bit of ``h`` is not in the filter."""
     out = rows
     for i, pos in enumerate(_positions(F.col("h"), bits)):
         side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"_b{i}"), F.col("bitmap").alias(f"_m{i}")))
@@ -63,7 +63,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = scratch.write(hashes, "hashes").withColumn("h", F.xxhash64("sha"))
     rows = hashes.count()
     bits = filter_bits(rows, max_bits)
-    marked = mark_repeated(hashes, repeated_bits(hashes, bits), bits).drop("h")
+    marked = mark(hashes, scratch.write(filter_of(hashes, bits), "filter"), bits).drop("h")
     alone = marked.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = marked.where("maybe").drop("maybe")
     groups = again.groupBy("sha").agg(F.max(F.struct("id", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
@@ -75,17 +75,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Only rows the filter marks are shuffled, and of those
-    only the ones that stay carry their text: the row to keep is found first, by hash and id."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    The row to keep is found first, by hash and id, without texts. A second filter holds those that are kept, so of the
+    rows that may be repeated only they, and about one in a hundred others, are shuffled with their texts. Nulls, ties,
+    repeated rows and empty tables are as in :func:`exact_dedup`.
+    """
     scratch = Scratch(docs.sparkSession, "exact_dedup")
     norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     cols = docs.columns
     key = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(F.encode(norm, "utf-8"), 256)).alias("sha"))
     hashes = scratch.write(key.select("id", "sha"), "hashes").withColumn("h", F.xxhash64("sha"))
     bits = filter_bits(hashes.count(), max_bits)
-    bitmaps = scratch.write(repeated_bits(hashes, bits), "filter")
-    keep = mark_repeated(hashes, bitmaps, bits).where("maybe").groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    marked = mark_repeated(key.withColumn("h", F.xxhash64("sha")), bitmaps, bits).drop("h")
-    again = marked.where("maybe").join(keep.withColumnRenamed("sha", "k_sha"), (F.col("sha") == F.col("k_sha")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    bitmaps = scratch.write(filter_of(hashes, bits), "filter")
+    keep = mark(hashes, bitmaps, bits).where("maybe").groupBy("sha").agg(F.max("id").alias("keep_id"))
+    keep = scratch.write(keep, "keep")
+    own_bits = filter_bits(keep.count(), max_bits)
+    own = scratch.write(filter_of(keep.select(F.xxhash64("sha", "keep_id").alias("h")), own_bits, 1), "kept")
+    marked = mark(key.withColumn("h", F.xxhash64("sha")), bitmaps, bits)
+    again = mark(marked.where("maybe").withColumn("h", F.xxhash64("sha", "id")), own, own_bits)
+    again = again.where("maybe").join(keep.withColumnRenamed("sha", "k_sha"), (F.col("sha") == F.col("k_sha")) & F.col("id").eqNullSafe(F.col("keep_id")))
     again = again.groupBy("sha", "id").agg(F.first("row").alias("row"))
     return marked.where(~F.col("maybe")).select("row").unionByName(again.select("row")).select("row.*")

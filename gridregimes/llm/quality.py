@@ -134,7 +134,11 @@ def labelled_sample(labels: DataFrame, label_col: str, allowed: Column, max_rows
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees fitted on at most ``max_rows`` labelled rows for which ``allowed`` (over the columns of labels) holds."""
+    """Trees fitted on at most ``max_rows`` labelled rows for which ``allowed`` (over the columns of labels) holds.
+
+    A null text counts as empty; a null id or label teaches nothing; a label that is repeated, or whose id is, counts as
+    often as it occurs. Without rows, or with rows of one class, the score is a constant.
+    """
     sample = small(labelled_sample(labels, label_col, allowed, max_rows, id_col), 16 * max_rows)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,8 +148,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, allowed: Column, label_col:
 
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(sample, F.col("d_id") == F.col("l_id"))
     got = rows.select("text", "y").mapInPandas(measure, "y double, x array<double>").toPandas()
-    x = np.array(got["x"].tolist(), np.float32).reshape(-1, N_FEATURES)
-    return fit_trees(x, got["y"].to_numpy(np.float64))
+    x, y = np.array(got["x"].tolist(), np.float32).reshape(-1, N_FEATURES), got["y"].to_numpy(np.float64)
+    order = np.lexsort((y, *x.T))  # sums of floats depend on the order of rows, which is the partitions' affair
+    return fit_trees(x[order], y[order])
 
 
 def score_quality(text: Column, trees: Trees) -> Column:
@@ -161,5 +166,8 @@ def score_quality(text: Column, trees: Trees) -> Column:
 
 
 def keep_good(docs: DataFrame, trees: Trees, least: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose whole text scores ``least`` or more."""
+    """The rows of ``docs``, with all their columns, whose whole text scores ``least`` or more.
+
+    Each row is judged by its text alone, a null as an empty one, so repeated rows stay or go together.
+    """
     return docs.where(score_quality(F.col(text_col), trees) >= least)

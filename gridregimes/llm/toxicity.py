@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import Scratch, release, small
 from .quality import labelled_sample
 
 MAX_ROWS = 8_000
+#: Bytes of hashed positions that the driver takes: the sample ends before the text that exceeds them.
+MAX_BYTES = 96 << 20
 BITS = 20
 BEGINNINGS = (5, 8)
 MIN_TEXTS, TOXIC_WEIGHT = 3, 4.0
@@ -76,20 +78,29 @@ class Ftrl:
         return at.astype(np.uint32), w[at], float(self._bias())
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "toxic", max_rows: int = MAX_ROWS, epochs: int = 12, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "toxic", max_rows: int = MAX_ROWS, epochs: int = 12, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
     """(positions, weights, bias) from at most ``max_rows`` labelled rows for which ``allowed`` holds over labels.
 
-    Tasks hash the sampled texts; the driver takes their positions one text at a time and never holds a text.
+    Tasks hash the sampled texts; the driver takes their positions, ``max_bytes`` at most, and never a text. Rows come in
+    the order of a hash of their ids; the first row that exceeds the bytes and those after it are left out. A null text
+    counts as empty; a null id or label teaches nothing; repeated labels and rows count as often as they occur; without
+    rows every score is 0.5.
     """
     sample = small(labelled_sample(labels, label_col, allowed, max_rows, id_col), 16 * max_rows)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["d_id"], "y": b["y"], "x": [np.unique(positions(t)).tobytes() for t in b["text"]]})
+            x = [np.unique(positions(t)).tobytes() for t in b["text"]]
+            yield pd.DataFrame({"k": [zlib.crc32(i.encode()) for i in b["d_id"]], "id": b["d_id"], "y": b["y"], "size": list(map(len, x)), "x": x}).astype({"k": "int64", "size": "int64"})
 
     rows = docs.select(F.col(id_col).cast("string").alias("d_id"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, F.col("id") == F.col("l_id"))
-    got = rows.select("d_id", "text", "y").mapInPandas(hashed, "id string, y double, x binary").toPandas()
-    got = got.assign(k=[zlib.crc32(x.encode()) for x in got["id"]]).sort_values(["k", "id", "y"])  # an order that no partitioning changes
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.write(rows.select("d_id", "text", "y").mapInPandas(hashed, "k long, id string, y double, size long, x binary"), "sample")
+    order = ["k", "id", "y"]  # that no partitioning changes
+    upto = F.sum("size").over(Window.orderBy(*order))  # of max_rows numbers
+    over = rows.select(*order, "size").withColumn("sum", upto).where(F.col("sum") > max_bytes).agg(F.min("k").alias("k")).first()[0]
+    got = (rows if over is None else rows.where(F.col("k") < over)).drop("size").toPandas().sort_values(order)
+    scratch.drop()
     model, texts = Ftrl(), np.zeros(1 << BITS, np.int32)
     for x in got["x"]:
         texts[np.frombuffer(x, np.uint32)] += 1
@@ -105,6 +116,7 @@ def score_toxicity(text: Column, model: tuple[np.ndarray, np.ndarray, float]) ->
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         at, weight, bias = model
         dense = np.zeros(1 << BITS)
         dense[at] = weight

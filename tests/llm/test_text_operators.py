@@ -80,10 +80,10 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark, empty):
 def test_filter_has_no_false_negative(spark):
     hashes = spark.range(3000).select((F.col("id") % 2000).alias("v")).select(F.xxhash64("v").alias("h"), "v")
     bits = exact_dedup.filter_bits(100)
-    marked = exact_dedup.mark_repeated(hashes, exact_dedup.repeated_bits(hashes, bits), bits)
+    marked = exact_dedup.mark(hashes, exact_dedup.filter_of(hashes, bits), bits)
     assert marked.where("v < 1000 AND NOT maybe").count() == 0
     bits = exact_dedup.filter_bits(3000)
-    assert exact_dedup.mark_repeated(hashes, exact_dedup.repeated_bits(hashes, bits), bits).where("v >= 1000 AND maybe").count() < 100
+    assert exact_dedup.mark(hashes, exact_dedup.filter_of(hashes, bits), bits).where("v >= 1000 AND maybe").count() < 100
 
 
 def test_sharding(docs, empty):
@@ -97,6 +97,10 @@ def test_sharding(docs, empty):
         slots[r.shard].append(r.slot)
     assert all(v == list(range(len(v))) for v in slots.values())
     assert max(abs(v - sum(sizes) / 5) for v in totals.values()) <= max(sizes)
+    before = 0
+    for r, size in zip(got, sizes):
+        assert r.byte_start == before and r.shard == before * 5 // sum(sizes)
+        before += size
     assert sharding.shard_by_bytes(empty, 5).count() == 0
 
 
@@ -146,6 +150,22 @@ def test_chat_events(spark):
     assert chat_format.read_back(chat_format.render(chat_format.fold_events(df.limit(0)))).count() == 0
 
 
+def test_chat_of_one_long_conversation(spark):
+    """30,000 events of one conversation, of which a regeneration near the end drops the tail: each row is folded once."""
+    n = 30_000
+    log = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == n - 1, F.lit(n - 100)).otherwise(F.col("id")).alias("turn"), F.when(F.col("id") == n - 1, "regenerate").otherwise("message").alias("kind"), F.lit("user").alias("role"), F.lit("t").alias("text"))
+    got = chat_format.fold_events(log.repartition(3)).agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"), F.sum(F.length("text")).alias("said")).first()
+    assert (got.n, got["last"], got.said) == (n - 99, n - 100, n - 100)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} word{i} " + "filler " * 5) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    whole = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    assert all((a == b) if isinstance(a, float) else (a == b).all() for a, b in zip(whole, toxicity.fit_toxicity(docs.repartition(7), labels, F.lit(True))))
+    assert len(toxicity.fit_toxicity(docs, labels, F.lit(True), max_bytes=0)[0]) == 0
+
+
 def test_encoder_equals_library():
     enc = tokens.encoder(TOK)
     odd = ["a  b", " x", " ", "\n\n a　 b \t c  ", "<|endoftext|> hi <|endoftext|>", "don't 'll we'll  'x", " é ü  z", "x \x1c y", "中文 字 🎉 🎉", "a _b -c  -d", "x '", "  "]
