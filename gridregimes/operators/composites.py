@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
 from ..functions.special import pearson, t_pvalue
 
 KEYS = ["variable", "node_id", "cell_id"]
 
 
+def missing_days(field: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``labels`` (or lagged labels) whose day has no row in the field."""
+    return labels.join(field.select("time").distinct(), "time", "left_anti")
+
+
+def _on_days(field: DataFrame, labels: DataFrame, strict: bool) -> DataFrame:
+    """The field's rows on the labels' days. Labels of a usual size are broadcast, so the field is not shuffled by day."""
+    if strict and (lost := missing_days(field, labels).select(F.min("time")).first()[0]):
+        raise ValueError(f"labelled days are missing in the field, the first of them {lost}")
+    return field.join(small(labels, 64), "time")
+
+
 def align(field: DataFrame, labels: DataFrame, strict: bool = False) -> DataFrame:
     """Field rows of labelled days, with node_id. ``strict``: a label day without any field row is an error."""
-    if strict:
-        lost = labels.join(field.select("time").distinct(), "time", "left_anti").limit(1).count()
-        if lost:
-            raise ValueError("labelled days are missing in the field")
-    return field.join(labels.select("time", "node_id"), "time")
+    return _on_days(field, labels.select("time", "node_id"), strict)
 
 
 def lagged_labels(labels: DataFrame, lags: DataFrame) -> DataFrame:
     """(node_id, lag_name, lag_days, time): the label day moved by each lag. ``lags`` has a few rows."""
-    moved = labels.select("node_id", F.col("time").alias("day")).crossJoin(F.broadcast(lags))
+    moved = labels.select("node_id", F.col("time").alias("day")).crossJoin(small(lags, 64))
     return moved.select("node_id", "lag_name", "lag_days", F.date_add("day", F.col("lag_days").cast("int")).alias("time"))
 
 
@@ -31,9 +40,10 @@ def composite(rows: DataFrame, keys: list[str] = KEYS, least: int = 2) -> DataFr
     return out.where(F.col("n") >= least)
 
 
-def lead_lag(field: DataFrame, labels: DataFrame, lags: DataFrame, least: int = 2) -> DataFrame:
-    """Composites by node and lag, tested against zero. Days that the field lacks are left out."""
-    rows = field.join(lagged_labels(labels, lags), "time")
+def lead_lag(field: DataFrame, labels: DataFrame, lags: DataFrame, least: int = 2, strict: bool = False) -> DataFrame:
+    """Composites by node and lag, tested against zero. Days that the field lacks are left out (:func:`missing_days` of
+    :func:`lagged_labels` tells them), or an error if ``strict``."""
+    rows = _on_days(field, lagged_labels(labels, lags), strict)
     return with_ttest(composite(rows, ["variable", "node_id", "lag_name", "lag_days", "cell_id"], least))
 
 
@@ -44,10 +54,10 @@ def with_ttest(out: DataFrame, against: str | None = None) -> DataFrame:
     return out.withColumn("t", t).withColumn("p", t_pvalue(F.col("t"), F.col("n") - 1))
 
 
-def composite_against_climatology(field: DataFrame, labels: DataFrame, climatology: DataFrame, least: int = 2) -> DataFrame:
-    """Composites by node with the cell's climatology (variable, cell_id, value) and a test against it."""
+def composite_against_climatology(field: DataFrame, labels: DataFrame, climatology: DataFrame, least: int = 2, strict: bool = False) -> DataFrame:
+    """Composites by node with the cell's climatology (variable, cell_id, value) and a test against it; ``strict`` as in :func:`align`."""
     clim = climatology.select("variable", "cell_id", F.col("value").alias("climatology"))
-    return with_ttest(composite(align(field, labels), least=least).join(clim, ["variable", "cell_id"]), "climatology")
+    return with_ttest(composite(align(field, labels, strict), least=least).join(clim, ["variable", "cell_id"]), "climatology")
 
 
 def significant(out: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -64,22 +74,23 @@ def phase_difference(field: DataFrame, index: DataFrame, threshold: float = 1.0,
     rows = field.join(phases, F.year("time") == F.col("y"))
     a, b = (F.when(F.col("phase") == s, F.col("value")) for s in (1, -1))
     out = rows.groupBy("variable", "cell_id").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.count(a).alias("n_pos"), F.count(b).alias("n_neg"), F.avg(a).alias("m_pos"), F.avg(b).alias("m_neg"), F.var_samp(a).alias("v_pos"), F.var_samp(b).alias("v_neg"))
-    u, v = F.col("v_pos") / F.col("n_pos"), F.try_divide(F.col("v_neg"), F.nullif(F.col("n_neg"), F.lit(0)))
-    u = F.try_divide(F.col("v_pos"), F.nullif(F.col("n_pos"), F.lit(0)))
+    u, v = (F.try_divide(F.col(f"v_{s}"), F.nullif(F.col(f"n_{s}"), F.lit(0))) for s in ("pos", "neg"))
     out = out.withColumns({"difference": F.col("m_pos") - F.col("m_neg"), "t": F.try_divide(F.col("m_pos") - F.col("m_neg"), F.nullif(F.sqrt(u + v), F.lit(0.0)))})
     dof = F.try_divide((u + v) * (u + v), F.nullif(u * u / F.nullif(F.col("n_pos") - 1, F.lit(0)) + v * v / F.nullif(F.col("n_neg") - 1, F.lit(0)), F.lit(0.0)))
     return out.withColumn("dof", dof).withColumn("p", t_pvalue(F.col("t"), F.col("dof")))
 
 
-def correlation_map(field: DataFrame, index: DataFrame, check_length: bool = True) -> DataFrame:
+def correlation_map(field: DataFrame, index: DataFrame, check_length: bool = True, names: list[str] | None = None) -> DataFrame:
     """Pearson's r of each cell with an index (time, value); null where the cell lacks a value or does not vary.
 
-    With ``check_length`` the numbers of different times must agree, or ValueError("Time dimension mismatch").
+    ``names``: columns that tell several indices apart; each gives a map. With ``check_length`` the numbers of different times must agree, or ValueError("Time dimension mismatch").
     """
     if check_length:
-        a, b = field.select("time").distinct().count(), index.select("time").distinct().count()
+        times = field.select("time", F.lit(0).alias("side")).unionByName(index.select("time", F.lit(1).alias("side"))).distinct()
+        a, b = times.select(F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)).first()
         if a != b:
             raise ValueError(f"Time dimension mismatch: {a} and {b}")
-    rows = field.join(index.select("time", F.col("value").alias("i")), "time")
+    names = names or []
+    rows = field.join(small(index.select("time", *names, F.col("value").alias("i")), 64), "time")
     r = F.when(F.count("value") == F.count(F.lit(1)), pearson(F.col("value"), F.col("i")))
-    return rows.groupBy("variable", "cell_id").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), r.alias("r"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("variable", *names, "cell_id").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), r.alias("r"), F.count(F.lit(1)).alias("n"))

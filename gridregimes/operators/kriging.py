@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
+
 EARTH_KM = 6371.0
 MODELS = ("spherical", "exponential", "gaussian")
 
@@ -96,8 +98,11 @@ def fit_variograms(variogram: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_model(fits: DataFrame) -> DataFrame:
-    """One row (model, mean_sse): least mean error over all groups."""
-    return fits.groupBy("model").agg(F.avg("sse").alias("mean_sse")).orderBy("mean_sse", "model").limit(1)
+    """One row (model, mean_sse): least mean error over all groups. ValueError if no group has a fit."""
+    best = fits.groupBy("model").agg(F.avg("sse").alias("mean_sse")).orderBy("mean_sse", "model").first()
+    if best is None:
+        raise ValueError("Variogram fit failed: no group has three bins")
+    return fits.sparkSession.createDataFrame([tuple(best)], "model string, mean_sse double")
 
 
 def use_model(fits: DataFrame, best: DataFrame) -> DataFrame:
@@ -128,7 +133,7 @@ def krige(points: DataFrame, fits: DataFrame, targets: DataFrame, keys: list[str
         return pdf[[*keys, "lat", "lon", "model", "nugget", "sill", "range_km"]].assign(dual=dual[:n], mean=dual[n])
 
     dual = rows.groupBy(*keys).applyInPandas(solve, f"{types}, lat double, lon double, model string, nugget double, sill double, range_km double, dual double, mean double")
-    at = dual.crossJoin(F.broadcast(targets.select(F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))))
+    at = dual.crossJoin(small(targets.select(F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon")), 16))
     cov = F.col("sill") - model_gamma(F.col("model"), haversine(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon")), F.col("nugget"), F.col("sill"), F.col("range_km"))
     out = at.groupBy(*keys, "to_lat", "to_lon").agg((F.sum(cov * F.col("dual")) + F.first("mean")).alias("value"))
     return out.select(*keys, F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), "value")

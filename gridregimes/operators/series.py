@@ -32,6 +32,12 @@ def seasonal_means(index: DataFrame, djf: str = "available") -> DataFrame:
     return out.drop("n")
 
 
+def seasons_wide(seasonal: DataFrame) -> DataFrame:
+    """(index_name, year, djf, mam, jja, son): the full outer join of the four seasons' tables, in one shuffle; gaps null."""
+    cells = [F.max(F.when(F.col("season") == s, F.col("value"))).alias(s.lower()) for s in SEASONS]
+    return seasonal.groupBy("index_name", "year").agg(*cells)
+
+
 def strict_djf(index: DataFrame) -> DataFrame:
     """DJF by the previous year's row of a year-by-month table: (December before + January + February) / 3, else null."""
     months = {m: F.max(F.when(F.month("date") == m, F.col("value"))) for m in (12, 1, 2)}

@@ -15,15 +15,21 @@ def periodogram(series: DataFrame, keys: list[str], order: str = "year", least_p
 
     Periods run from ``least_period`` to ``longest`` (half the series if not given), both included.
     """
+    out = ordinates(series, keys, order)
+    longest_ = F.lit(longest) if longest else F.col("n") / 2
+    kept = (F.col("k") > 0) & (F.col("k") * least_period <= F.col("n")) & (F.col("k") * longest_ >= F.col("n"))
+    return out.where(kept).select(*keys, "k", "n", "frequency", (F.col("n") / F.col("k")).alias("period"), "power")
+
+
+def ordinates(series: DataFrame, keys: list[str], order: str = "year") -> DataFrame:
+    """(keys, k, n, frequency, power) for k from 0 to n / 2 (1 at least)."""
     rows = with_place(series, keys, order)
     rows = rows.withColumns({"x": F.col("value") - F.avg("value").over(Window.partitionBy(*keys)), "n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    rows = rows.select(*keys, "t", "x", "n", F.explode(F.sequence(F.lit(1), F.greatest((F.col("n") / 2).cast("int"), F.lit(1)))).alias("k"))
+    rows = rows.select(*keys, "t", "x", "n", F.explode(F.sequence(F.lit(0), F.greatest((F.col("n") / 2).cast("int"), F.lit(1)))).alias("k"))
     angle = F.lit(2 * math.pi) * F.pmod(F.col("k") * F.col("t"), F.col("n")) / F.col("n")
     out = rows.groupBy(*keys, "k", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
     power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")
-    longest_ = F.lit(longest) if longest else F.col("n") / 2
-    kept = (F.col("k") * least_period <= F.col("n")) & (F.col("k") * longest_ >= F.col("n"))
-    return out.where(kept).select(*keys, "k", "n", (F.col("k") / F.col("n")).alias("frequency"), (F.col("n") / F.col("k")).alias("period"), power.alias("power"))
+    return out.select(*keys, "k", "n", (F.col("k") / F.col("n")).alias("frequency"), power.alias("power"))
 
 
 def red_noise(spectrum: DataFrame, series: DataFrame, keys: list[str], order: str = "year") -> DataFrame:
@@ -40,13 +46,16 @@ def red_noise(spectrum: DataFrame, series: DataFrame, keys: list[str], order: st
 
 
 def normalised_spectrum(series: DataFrame, keys: list[str], order: str = "year") -> DataFrame:
-    """Periodogram of the detrended series at unit population variance, with the plain AR(1) shape beside it."""
+    """(keys, k, n, frequency, power, r1, red, level95) of the detrended series at unit population variance.
+
+    Frequencies are those from 0 to below 1/2: k < n / 2. red is the plain AR(1) shape, level95 that times chi2 / 2 at 95 %.
+    """
     unit = z_score(detrend(series, keys, order), keys, ddof=0)
-    spectrum = periodogram(unit, keys, order, longest=float(10**9))
+    spectrum = ordinates(unit, keys, order).where("2 * k < n")
     r = lag1(unit, keys, order)
     f = F.cos(F.lit(2 * math.pi) * F.col("frequency"))
     shape = (1 - F.col("r1") * F.col("r1")) / (1 + F.col("r1") * F.col("r1") - 2 * F.col("r1") * f)
-    return spectrum.join(r, keys).withColumn("red", shape)
+    return spectrum.join(r, keys).withColumn("red", shape).withColumn("level95", F.col("red") * (-math.log(0.05)))
 
 
 def peaks(spectrum: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
@@ -74,17 +83,20 @@ def fisher_g(spectrum: DataFrame, keys: list[str], alpha: float = 0.05) -> DataF
     return out.select(*keys, "g", "p", (F.col("p") < alpha).alias("reject"))
 
 
-def cross_correlation(x: DataFrame, y: DataFrame, x_keys: list[str], y_keys: list[str], max_lag: int = 15, order: str = "year") -> DataFrame:
+def cross_correlation(x: DataFrame, y: DataFrame, x_keys: list[str], y_keys: list[str], max_lag: int | None = None, order: str = "year") -> DataFrame:
     """(keys, lag, correlation, band) over common ``order``: sum of x(t + lag) y(t) / (sx sy n), population deviations.
 
-    Pairs beyond ``max_lag`` are not made. band is 1.96 / sqrt(n).
+    All lags from -(n - 1) to n - 1, or those within ``max_lag``; pairs beyond are not made. band is 1.96 / sqrt(n).
     """
     rows = x.select(*x_keys, order, F.col("value").alias("x")).join(y.select(*y_keys, order, F.col("value").alias("y")), order)
     keys = [*x_keys, *y_keys]
     w = Window.partitionBy(*keys)
     place = (F.row_number().over(w.orderBy(order)) - 1).cast("int")
     rows = rows.select(*keys, place.alias("t"), (F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"), F.count(F.lit(1)).over(w).alias("n"), (F.stddev_pop("x").over(w) * F.stddev_pop("y").over(w)).alias("s"))
-    lags = rows.select(*keys, "t", "y", "n", "s", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
+    first, last = -F.col("t"), F.col("n").cast("int") - 1 - F.col("t")
+    if max_lag is not None:
+        first, last = F.greatest(first, F.lit(-max_lag)), F.least(last, F.lit(max_lag))
+    lags = rows.select(*keys, "t", "y", "n", "s", F.when(first <= last, F.sequence(first, last)).alias("lags")).select("*", F.explode("lags").alias("lag"))
     pairs = lags.withColumn("at", F.col("t") + F.col("lag")).join(rows.select(*keys, F.col("t").alias("at"), "x"), [*keys, "at"])
     out = pairs.groupBy(*keys, "lag", "n", "s").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
     return out.select(*keys, "lag", F.try_divide(F.col("c"), F.nullif(F.col("s"), F.lit(0.0)) * F.col("n")).alias("correlation"), (1.96 / F.sqrt(F.col("n").cast("double"))).alias("band"))

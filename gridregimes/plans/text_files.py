@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder that spark.checkpoint.dir names; a local one only where that is unset."""
+    """A new folder in the shared folder that spark.checkpoint.dir names; a local one only in local mode where that is unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its machines share")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         sc.setCheckpointDir(base)

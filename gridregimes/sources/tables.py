@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.fields import nan_to_null
+from ..operators.fields import axis, nan_to_null
 
 LABELS = ["time", "bmu_i", "bmu_j", "node_id", "year", "month"]
 
@@ -27,8 +27,8 @@ def read_field(spark: SparkSession, paths: Sequence[str], variable: str, prefer:
     """(variable, time, [level,] cell_id, lat, lon, value) of Parquet files of one variable, one row for each time and cell.
 
     Files that are missing are skipped; none at all is a FileNotFoundError. The value column is the first preferred name
-    that is there, else the first column that is no coordinate. NaN becomes null. cell_id ranks places by lat and lon
-    unless the files have it.
+    that is there, else the first column that is no coordinate. NaN becomes null. Unless the files have a cell_id, it
+    is the rank of lat times a million plus the rank of lon among all that are read. Rows of one time and place are one.
     """
     there = existing(spark, paths)
     if not there:
@@ -38,9 +38,12 @@ def read_field(spark: SparkSession, paths: Sequence[str], variable: str, prefer:
     name = next((c for c in prefer if c in df.columns), None) or next(c for c in df.columns if c not in axes)
     out = df.select(F.lit(variable).alias("variable"), *(F.col(c).cast("date") if c == "time" else F.col(c) for c in axes), F.col(name).cast("double").alias("value"))
     if "cell_id" not in axes:
-        # a place has a number that depends on nothing but its coordinates, to a thousandth of a degree
-        out = out.withColumn("cell_id", (F.round((F.col("lat") + 90) * 1000).cast("long") * 1_000_000 + F.round((F.col("lon") + 360) * 1000).cast("long")))
-    return nan_to_null(out, "value").dropDuplicates(["variable", "time", *(["level"] if "level" in axes else []), "cell_id"])
+        for name in ("lat", "lon"):  # a row for each place on an axis
+            ranked = axis(out, name).select(name, (F.row_number().over(Window.orderBy(name)) - 1).cast("long").alias(f"{name}_rank"))
+            out = out.join(F.broadcast(ranked), name, "left")
+        out = out.withColumn("cell_id", F.col("lat_rank") * 1_000_000 + F.col("lon_rank")).drop("lat_rank", "lon_rank")
+        out = out.select("variable", *[c for c in ("time", "level") if c in axes], "cell_id", "lat", "lon", "value")
+    return nan_to_null(out, "value").dropDuplicates(["variable", *(c for c in ("time", "level", "cell_id", "lat", "lon") if c in out.columns)])
 
 
 def write_field(df: DataFrame, path: str) -> None:
@@ -74,8 +77,6 @@ def dated_labels(labels: DataFrame, first: str, last: str, months: tuple[int, ..
 
     ValueError if there are not as many labels as days.
     """
-    from pyspark.sql import Window
-
     spark = labels.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("time")).where(F.month("time").isin(*months))
     days = days.withColumn("place", F.row_number().over(Window.orderBy("time")))  # days of some decades

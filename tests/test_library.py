@@ -95,6 +95,65 @@ def test_nearest_takes_the_lower_on_ties_and_extrapolates(spark):
     assert [r.value for r in got] == [0.0, 0.0, 2.0, 2.0]
 
 
+def test_lead_lag_days_and_plan(spark):
+    labels = spark.createDataFrame([("2000-01-01", 1), ("2001-01-01", 1)], "time string, node_id int").withColumn("time", F.to_date("time"))
+    lags = spark.createDataFrame([("zero", 0), ("p1", 1)], "lag_name string, lag_days int")
+    field = yearly(spark, [1.0, 2.0])
+    moved = composites.lagged_labels(labels, lags)
+    assert sorted(str(r.time) for r in composites.missing_days(field, moved).collect()) == ["2000-01-02", "2001-01-02"]
+    got = composites.lead_lag(field, labels, lags).collect()
+    assert {(r.lag_name, r.n, r["mean"]) for r in got} == {("zero", 2, 1.5)}
+    with pytest.raises(ValueError, match="2000-01-02"):
+        composites.lead_lag(field, labels, lags, strict=True)
+    with pytest.raises(ValueError, match="missing"):
+        composites.composite_against_climatology(field, moved, field, strict=True)
+    plan = composites.lead_lag(field, labels, lags)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(time" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_patterns_without_samples_or_features(spark):
+    none = spark.createDataFrame([], "id long, features array<double>")
+    for train in (lambda: patterns.train_batch(none), lambda: patterns.online_sample(none, "id", 5), lambda: patterns.search(none, [1.0], [2])):
+        with pytest.raises(ValueError, match="no samples"):
+            train()
+    assert patterns.kmeans(none, 2).count() == 0 and patterns.pca2(none).count() == 0
+    some = spark.createDataFrame([(i, [float(i % 2), 1.0, i / 9]) for i in range(8)] + [(9, None)], "id long, features array<double>")
+    assert patterns.assign(some, patterns.train_batch(some, 1, 2, epochs=3), 1).count() == 8 and patterns.kmeans(some, 2, restarts=1).count() == 8
+    one, two = patterns.train_batches(some, [(1.0, 3), (1.5, 5)], 1, 2)
+    assert (one == patterns.train_batch(some, 1, 2, 3, 1.0)).all() and (two == patterns.train_batch(some, 1, 2, 5, 1.5)).all()
+    means = {r.id: r.features for r in patterns.node_means(some.withColumn("node", F.when(F.col("id") < 3, F.col("id") % 2)), "node").collect()}
+    assert set(means) == {0, None} and means[0] == pytest.approx([0.0, 1.0, 1 / 9])  # node 1 has one sample
+
+
+def test_variogram_fit_that_fails(spark):
+    with pytest.raises(ValueError, match="Variogram fit failed"):
+        kriging.best_model(spark.createDataFrame([], "model string, sse double"))
+
+
+def test_near_places_stay_apart(spark, tmp_path):
+    spark.createDataFrame([("2000-01-01", 10.0001, 5.0, 1.0), ("2000-01-01", 10.0002, 5.0, 2.0), ("2000-01-01", 10.0002, 5.0, 2.0)], "time string, lat double, lon double, v double").write.parquet(f"file://{tmp_path}/f")
+    got = tables.read_field(spark, [f"file://{tmp_path}/f"], "v").collect()
+    assert sorted((r.cell_id, r.value) for r in got) == [(0, 1.0), (1_000_000, 2.0)]
+
+
+def test_spectrum_and_lags_are_whole(spark):
+    rows = spark.createDataFrame([("a", y, float((y * 7) % 5 + y / 3)) for y in range(10)], "k string, year int, value double")
+    found = spectra.normalised_spectrum(rows.withColumnRenamed("k", "name"), ["name"]).collect()
+    assert sorted(r.k for r in found) == list(range(5))
+    y = np.array([float((y * 7) % 5 + y / 3) for y in range(10)])
+    y = y - np.polyval(np.polyfit(range(10), y, 1), range(10))
+    y = (y - y.mean()) / y.std()
+    power, r1 = np.abs(np.fft.fft(y)) ** 2 / 10, np.corrcoef(y[:-1], y[1:])[0, 1]
+    for r in found:
+        red = (1 - r1**2) / (1 + r1**2 - 2 * r1 * np.cos(2 * np.pi * r.k / 10))
+        assert (r.power, r.red, r.level95) == pytest.approx((power[r.k], red, red * 2.995732273553991), abs=1e-9)
+    a, b = rows.select(F.lit("a").alias("a"), "year", "value"), rows.select(F.lit("b").alias("b"), "year", (F.col("value") * F.col("value")).alias("value"))
+    got = {r.lag: r.correlation for r in spectra.cross_correlation(a, b, ["a"], ["b"]).collect()}
+    x, z = (np.array([r.value for r in df.orderBy("year").collect()]) for df in (a, b))
+    want = np.correlate(x - x.mean(), z - z.mean(), mode="full") / (x.std() * z.std() * 10)
+    assert sorted(got) == list(range(-9, 10)) and [got[k] for k in range(-9, 10)] == pytest.approx(want.tolist(), abs=1e-9)
+
+
 def test_strict_alignment(spark):
     labels = spark.createDataFrame([(dt.date(1990, 1, 1), 1)], "time date, node_id int")
     assert composites.align(yearly(spark, [1.0]), labels).count() == 0
@@ -271,7 +330,7 @@ def test_fit_and_kriging_take_500_points_a_group(spark):
     sf = "/root/testdata/sf0.01"
     if not os.path.isdir(sf):
         pytest.skip("the driver's tables are not here")
-    pts = catalog.points(spark, sf, 500).cache()
+    pts = catalog.points(spark, sf).cache()
     assert {r["count"] for r in pts.groupBy("node_id").count().collect()} - {500} <= set(range(400, 500))
     found = kriging.fit_variograms(kriging.empirical_variogram(pts, ["node_id"]), ["node_id"])
     want = {(r.node_id, r.model): r.sse for r in found.collect()}
