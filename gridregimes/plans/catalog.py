@@ -534,9 +534,11 @@ def c2_som_batch(spark, sf_dir):
 
 @query()
 def c2_som_online(spark, sf_dir):
-    """Sequential training of 4000 steps, which is what it looks at by its definition; then each sample's node."""
-    rows = unit_samples(spark, sf_dir)
-    return patterns.assign(rows, patterns.train_online(patterns.online_sample(rows, "id", 4000), steps=4000), 3).select("id", "node_id")
+    """Sequential training, a step for each sample in each round; then each sample's node."""
+    rows = unit_samples(spark, sf_dir).cache()
+    book = patterns.train_online_averaged(rows)
+    rows.unpersist()
+    return patterns.assign(rows, book, 3).select("id", "node_id")
 
 
 @query()
@@ -570,8 +572,25 @@ def c9_pair_distances(spark, sf_dir):
     return out(patterns.pair_distances(label_means(spark, sf_dir)), "a", "b", d2=6)
 
 
-@query()
+_WARD = """WITH RECURSIVE m AS (SELECT label, i, avg(CAST(embedding AS DOUBLE[])[i]) AS v FROM embeddings, range(1, 65) r(i) WHERE label IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+    vec AS (SELECT row_number() OVER (ORDER BY label) - 1 AS id, list(v ORDER BY i) AS v FROM m GROUP BY label),
+    w AS (
+        SELECT -1 AS step, id, 1 AS n, v, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS d2 FROM vec
+        UNION ALL
+        (WITH pr AS (
+            SELECT x.step, x.id AS a, y.id AS b, 2.0 * x.n * y.n / (x.n + y.n) * pow(list_distance(x.v, y.v), 2) AS d2, x.n + y.n AS n,
+                [(x.n * z[1] + y.n * z[2]) / (x.n + y.n) for z in list_zip(x.v, y.v)] AS v
+            FROM w x JOIN w y ON x.id < y.id),
+        best AS (SELECT * FROM pr ORDER BY d2, a, b LIMIT 1)
+        SELECT w.step + 1, w.id, w.n, w.v, NULL, NULL, NULL FROM w, best WHERE w.id <> best.a AND w.id <> best.b
+        UNION ALL
+        SELECT step + 1, (SELECT count(*) FROM vec) + step + 1, n, v, a, b, d2 FROM best))
+    SELECT CAST(step AS INTEGER) AS step, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(sqrt(d2), 6) AS height, CAST(n AS INTEGER) AS size FROM w WHERE a IS NOT NULL"""
+
+
+@query(_WARD)
 def c9_ward_linkage(spark, sf_dir):
+    """Merges by squared distances; the SQL goes by means and sizes of clusters instead."""
     return patterns.ward_linkage(label_means(spark, sf_dir)).withColumn("height", F.round("height", 6))
 
 

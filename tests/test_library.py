@@ -113,7 +113,7 @@ def test_lead_lag_days_and_plan(spark):
 
 def test_patterns_without_samples_or_features(spark):
     none = spark.createDataFrame([], "id long, features array<double>")
-    for train in (lambda: patterns.train_batch(none), lambda: patterns.online_sample(none, "id", 5), lambda: patterns.search(none, [1.0], [2])):
+    for train in (lambda: patterns.train_batch(none), lambda: patterns.train_online_averaged(none), lambda: patterns.online_sample(none, "id", 5), lambda: patterns.search(none, [1.0], [2])):
         with pytest.raises(ValueError, match="no samples"):
             train()
     assert patterns.kmeans(none, 2).count() == 0 and patterns.pca2(none).count() == 0
@@ -261,6 +261,19 @@ def test_maps_and_kmeans_find_blobs(spark):
     assert same_groups([(r.id % 4, r.cluster) for r in patterns.kmeans(rows, 4, restarts=3).collect()])
 
 
+def test_online_training_in_every_partition(spark):
+    rows = patterns.normalise(blobs(spark)).coalesce(1).cache()
+    x = np.array([r.features for r in rows.collect()])
+    once = patterns.train_online_averaged(rows, 2, 2, rounds=1)
+    assert np.allclose(once, patterns.train_online(x, 2, 2, steps=len(x)))
+    apart = rows.repartitionByRange(3, "id")
+    parts = [patterns.train_online(np.array(p), 2, 2, steps=len(p)) * len(p) for p in apart.rdd.map(lambda r: r.features).glom().collect()]
+    assert np.allclose(patterns.train_online_averaged(apart, 2, 2, rounds=1), patterns._unit(sum(parts)))
+    with_null = apart.unionByName(spark.createDataFrame([(-1, None)], "id long, features array<double>"))
+    assert np.allclose(patterns.train_online_averaged(with_null, 2, 2, rounds=1), patterns._unit(sum(parts)))
+    rows.unpersist()
+
+
 def test_best_unit_ties_take_the_lowest_node():
     node, d = patterns.nearest_nodes(np.array([[0.0, 0.0], [1.0, 0.0]]), np.array([[1.0, 0.0], [-1.0, 0.0], [1.0, 0.0]]))
     assert node.tolist() == [0, 0] and d.tolist() == [1.0, 0.0]
