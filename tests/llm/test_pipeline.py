@@ -80,3 +80,25 @@ def test_stages_on_nulls_and_no_rows(spark, made):
             out = stage(spark, docs, folder)
             assert name == "packing" or out.columns == docs.columns
             out.collect()
+
+
+def test_stages_on_repeated_rows_null_ids_and_clashing_columns(spark, made):
+    folder, texts, item = made
+    long = max(texts[:60], key=len)
+    near = " ".join([*long.split()[:-1], "changed."])
+    rows = [(5, long), (5, long), (None, long), (9, near), (9, near), (None, near), (3, ""), (None, None), (None, item), (4, f"x {item} y")]
+    more = {c: "x" for c in ("row", "id", "sha", "own", "found", "node", "key")}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *more.values()) for i, t in rows], NAMES + "".join(f", {c} string" for c in more))
+
+    def run(stage):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and {tuple(r[c] for c in more) for r in out.collect()} <= {tuple(more.values())}
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    good = run(corpus_pipeline.keep_quality)
+    assert all((good.count(r) == rows.count(r)) for r in good)
+    assert run(corpus_pipeline.drop_copies) == sorted([(5, long), (9, near), (3, ""), (None, item), (4, f"x {item} y")], key=str)
+    assert run(corpus_pipeline.drop_near_copies) == sorted([r for r in rows if r[0] != 9], key=str)
+    assert run(corpus_pipeline.drop_benchmark) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+    packed = corpus_pipeline.pack(spark, docs, folder).select("doc_id", "start", "doc_tokens").where("start = 0").collect()
+    assert sorted(str(r.doc_id) for r in packed) == sorted(str(i) for i, _ in rows) and sorted(r.doc_tokens for r in packed)[:2] == [1, 1]
