@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import small
@@ -16,10 +16,15 @@ def missing_days(field: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(field.select("time").distinct(), "time", "left_anti")
 
 
+def _check_days(field: DataFrame, labels: DataFrame) -> None:
+    if lost := missing_days(field, labels).select(F.min("time")).first()[0]:
+        raise ValueError(f"labelled days are missing in the field, the first of them {lost}")
+
+
 def _on_days(field: DataFrame, labels: DataFrame, strict: bool) -> DataFrame:
     """The field's rows on the labels' days. Labels of a usual size are broadcast, so the field is not shuffled by day."""
-    if strict and (lost := missing_days(field, labels).select(F.min("time")).first()[0]):
-        raise ValueError(f"labelled days are missing in the field, the first of them {lost}")
+    if strict:
+        _check_days(field, labels)
     return field.join(small(labels, 64), "time")
 
 
@@ -60,6 +65,22 @@ def composite_against_climatology(field: DataFrame, labels: DataFrame, climatolo
     return with_ttest(composite(align(field, labels, strict), least=least).join(clim, ["variable", "cell_id"]), "climatology")
 
 
+def composite_against_own_mean(field: DataFrame, labels: DataFrame, least: int = 2, strict: bool = False) -> DataFrame:
+    """The same against the cell's mean over all of the field's days, which is read and shuffled once for both.
+
+    Each row counts for its cell's mean (side 0) and for each label of its day (side 1). Sums are made before the
+    shuffle, so it moves a row for each cell and node that a task has seen.
+    """
+    if strict:
+        _check_days(field, labels)
+    days = small(labels.select("time", "node_id", F.lit(1).alias("side"), F.lit(True).alias("labelled")), 64)
+    rows = field.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).join(days, ["time", "side"], "left").where("side = 0 OR labelled")
+    found = composite(rows, [*KEYS, "side"], 0)
+    mean = F.max(F.when(F.col("side") == 0, F.col("mean"))).over(Window.partitionBy("variable", "cell_id"))
+    found = found.withColumn("climatology", mean).where((F.col("side") == 1) & (F.col("n") >= least)).drop("side")
+    return with_ttest(found, "climatology")
+
+
 def significant(out: DataFrame, alpha: float = 0.05) -> DataFrame:
     return out.withColumn("significant", F.col("p") < alpha)
 

@@ -23,7 +23,9 @@ def sample_points(points: DataFrame, keys: list[str], n: int = 500, rank: Column
     """At most ``n`` points of each group, by a hash of their place: the same whatever the partitions. Adds pid from 0."""
     rank = F.xxhash64("lat", "lon", F.lit(42)) if rank is None else rank
     w = Window.partitionBy(*keys).orderBy(rank, "lat", "lon")
-    return points.where("value IS NOT NULL").withColumn("pid", F.row_number().over(w) - 1).where(F.col("pid") < n)
+    ranked = points.where("value IS NOT NULL").withColumn("pid", F.row_number().over(w))
+    # a bound on the rank itself lets each task cut its groups before the shuffle
+    return ranked.where(F.col("pid") <= n).withColumn("pid", F.col("pid") - 1)
 
 
 def pairs(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -212,7 +212,7 @@ _COMPOSITE = "c AS (SELECT node_id, cell_id, lat, lon, count(value) AS n, avg(va
 def t1_composite_ttest(spark, sf_dir):
     """Node composites tested against the climatology."""
     df = fx.field(spark, sf_dir)
-    found = composites.composite_against_climatology(df, fx.labels(spark, sf_dir), fields.time_mean(df, propagate=False))
+    found = composites.composite_against_own_mean(df, fx.labels(spark, sf_dir))
     found = out(found, "node_id", "cell_id", "lat", "lon", "n", mean=6, std=6, climatology=6, t=5, p=6)
     return composites.significant(found)
 

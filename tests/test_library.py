@@ -111,6 +111,21 @@ def test_lead_lag_days_and_plan(spark):
     assert "hashpartitioning(time" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_composite_against_own_mean_reads_the_field_once(spark, tmp_path):
+    days = [("2000-01-01", 1), ("2001-01-01", 1), ("2001-01-01", 2), ("2002-01-01", 2), ("2003-01-01", None), ("2009-01-01", 1)]
+    labels = spark.createDataFrame(days, "time string, node_id int").withColumn("time", F.to_date("time"))
+    yearly(spark, [1.0, 2.0, None, 9.0]).write.parquet(f"file://{tmp_path}/f")
+    field = spark.read.parquet(f"file://{tmp_path}/f")
+    once = composites.composite_against_own_mean(field, labels, 1)
+    twice = composites.composite_against_climatology(field, labels, fields.time_mean(field, propagate=False), 1)
+    assert sorted(map(str, once.select(twice.columns).collect())) == sorted(map(str, twice.collect())) and once.count() == 3
+    with pytest.raises(ValueError, match="2009-01-01"):
+        composites.composite_against_own_mean(field, labels, strict=True)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "hashpartitioning(time" not in plan
+    assert composites.composite_against_own_mean(field.limit(0), labels).count() == 0
+
+
 def test_patterns_without_samples_or_features(spark):
     none = spark.createDataFrame([], "id long, features array<double>")
     for train in (lambda: patterns.train_batch(none), lambda: patterns.train_online_averaged(none), lambda: patterns.online_sample(none, "id", 5), lambda: patterns.search(none, [1.0], [2])):
@@ -288,6 +303,7 @@ def test_kriging_returns_samples(spark):
     rng = np.random.default_rng(1)
     rows = [(1, float(a), float(b), float(v)) for a, b, v in zip(rng.uniform(-20, 60, 30), rng.uniform(0, 180, 30), rng.normal(size=30))]
     pts = kriging.sample_points(spark.createDataFrame(rows, "node_id int, lat double, lon double, value double"), ["node_id"], 25)
+    assert "WindowGroupLimit" in pts._jdf.queryExecution().executedPlan().toString()
     fit = spark.createDataFrame([(1, "exponential", 0.3, 2.0, 4000.0, 0.0)], "node_id int, model string, nugget double, sill double, range_km double, sse double")
     got = kriging.krige(pts, fit, pts.select("lat", "lon"), ["node_id"]).join(pts.withColumnRenamed("value", "want"), ["lat", "lon"])
     assert got.count() == 25 and all(abs(r.value - r.want) < 1e-3 for r in got.collect())
