@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tokens import binaries, encoder
 
-#: Open windows of a partition after which they are cut anew: 64 MB of ids at most.
+#: Open windows of a partition after which what they hold is cut into full windows: 64 MB of ids at most. That pads
+#: nothing; it costs one more cut a window.
 MAX_OPEN = 16_384
 _BIG = np.iinfo(np.int64).max // 4
 
@@ -104,19 +106,19 @@ class Packer:
             self.open = 1
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_open: int = MAX_OPEN) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A null or empty text is the end id alone. Repeated rows and null ids are packed like any others; columns besides id
     and text are not read. sequence_id is the partition's number times 2**40 and a count, so it is unique, not dense.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = PIECES.format(id=id_type)
-    arrow_id = pa.int64() if id_type == "bigint" else None
+    id_type = docs.schema[id_col].dataType
+    schema = PIECES.format(id=id_type.simpleString())
+    arrow_id = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer_path)
-        packer = Packer(capacity, TaskContext.get().partitionId() << 40)
+        packer = Packer(capacity, TaskContext.get().partitionId() << 40, max_open)
         end = np.array([end_id], tok.dtype)
 
         def flush() -> pa.RecordBatch:

@@ -216,6 +216,19 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, TOK, 64, 0).count() == 0
 
 
+def test_packing_with_few_open_windows_and_other_ids(spark):
+    texts = ["one two three " * (1 + i % 5) for i in range(60)]
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id int, text string").coalesce(1)
+    got = packing.pack_documents(docs, TOK, 32, 0, max_open=2)
+    assert got.schema["doc_id"].dataType.simpleString() == "int"
+    used = Counter()
+    for r in got.collect():
+        used[r.sequence_id] += r.length
+    enc = tokens.encoder(TOK)
+    assert sum(used.values()) == sum(len(enc.ids(t)) + 1 for t in texts) and sorted(used.values())[1:] == [32] * (len(used) - 1)
+    assert packing.pack_documents(docs.where("doc_id IS NULL").withColumn("doc_id", F.lit("x")), TOK, 32, 0).schema["doc_id"].dataType.simpleString() == "string"
+
+
 def test_sum_of_squares_choice():
     rng = np.random.default_rng(1)
     packer, levels = packing.Packer(16), Counter()
