@@ -52,8 +52,8 @@ class Scratch:
         self.path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._end)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}", compression=compression)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:

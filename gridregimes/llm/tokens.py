@@ -34,13 +34,13 @@ _TAIL = rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+"
 _CUTS = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|[\t\n\r]+(?:{_TAIL})?"
 #: A space that no visible character follows.
 _LOOSE = re.compile(r" (?!\S)")
-#: Words that a process remembers: those seen twice in two generations of ``REPEATED`` at most, and the last new ones.
+#: _Words that a process remembers: those seen twice in two generations of ``REPEATED`` at most, and the last new ones.
 #: A word takes some 130 bytes, so all take 52 MB at most. Longer words than ``LONGEST`` characters are not remembered.
 REPEATED, NEW, LONGEST = 150_000, 100_000, 32
 #: Bytes of text encoded at once (or one longer text).
 AT_ONCE = 2 << 20
 
-def _byte_names() -> str:
+def byte_names() -> str:
     """Byte-level BPE writes a byte as its Latin-1 character if that is visible, else as the next one from 256 on."""
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
     return "".join(chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256))
@@ -87,7 +87,7 @@ class Encoder:
         self.dtype = _dtype(t)
         pre = t.pre_tokenizer
         self.by_word = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space
-        self.model, self.code, self.names = t.model, {2: "H", 4: "I"}[self.dtype.itemsize], _byte_names()
+        self.model, self.code, self.names = t.model, {2: "H", 4: "I"}[self.dtype.itemsize], byte_names()
         self.words = _Words(self._ask)
         self.marks = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
 
