@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 CELL = ["variable", "cell_id"]
 
 
@@ -93,19 +95,68 @@ def low_pass(df: DataFrame, width: int = 10) -> DataFrame:
 
     An even width reaches one row further back than ahead: 10 covers rows -5 to 4.
     """
-    w = Window.partitionBy(*CELL).orderBy("time").rowsBetween(-(width // 2), (width - 1) // 2)
+    return low_pass_window(df, CELL, width)
+
+
+def low_pass_blocks(df: DataFrame, width: int = 10, months: tuple[int, ...] | None = None, block: Column | None = None) -> DataFrame:
+    """:func:`low_pass`, by blocks of a cell's history: a task never holds more of it than a block and its borders.
+
+    Blocks are calendar months unless ``block`` says otherwise (a column that does not fall over time). Each block's
+    border rows are sent to the blocks that need them, the next ones with rows, however far off. With ``months`` only rows
+    of these months are computed and returned; of the other blocks only border rows go on.
+    """
+    back, ahead = width // 2, (width - 1) // 2
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [*CELL, "_block"]
+    blocks = df.withColumn("_block", F.trunc("time", "month") if block is None else block)
+    sizes = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))  # a row for each block
+    w = Window.partitionBy(*key)
+    rows = blocks.repartition(n, *key).withColumns({"_first": F.row_number().over(w.orderBy("time")) - 1, "_last": F.count(F.lit(1)).over(w)})
+    rows = rows.withColumn("_last", F.col("_last") - 1 - F.col("_first"))  # rows after this one in its block
+    wanted = F.month("_block").isin(*months) if months is not None and block is None else F.lit(True)
+
+    def near(reach: int, blocks: Column) -> Column:
+        """The next blocks and the rows between them and this one, as long as these are fewer than ``reach``."""
+        start = F.struct(F.lit(0).cast("long").alias("gap"), F.array().cast(f"array<struct<to:{'date' if block is None else 'bigint'},gap:bigint>>").alias("to"))
+
+        def add(acc: Column, x: Column) -> Column:
+            to = F.when((acc["gap"] < reach) & x["wanted"], F.concat(acc["to"], F.array(F.named_struct(F.lit("to"), x["_block"], F.lit("gap"), acc["gap"])))).otherwise(acc["to"])
+            return F.named_struct(F.lit("gap"), acc["gap"] + x["_size"], F.lit("to"), to)
+
+        return F.aggregate(blocks, start, add)["to"]
+
+    one = F.struct("_block", "_size", wanted.alias("wanted"))
+    order = Window.partitionBy(*CELL).orderBy("_block")
+    later, sooner = F.collect_list(one).over(order.rowsBetween(1, max(back, 1))), F.collect_list(one).over(order.rowsBetween(-max(ahead, 1), -1))
+    targets = sizes.select(*key, near(back, later).alias("_later"), near(ahead, F.reverse(sooner)).alias("_sooner"))
+    border = rows.where((F.col("_first") < ahead) | (F.col("_last") < back)).join(targets, key)
+    to = F.concat(F.filter("_later", lambda x: F.col("_last") + x["gap"] < back), F.filter("_sooner", lambda x: F.col("_first") + x["gap"] < ahead))
+    names = df.columns
+    lent = border.select(*names, F.explode(F.transform(to, lambda x: x["to"])).alias("_block"), F.lit(False).alias("_own")).repartition(n, *key)
+    own = rows.where(wanted).select(*names, "_block", F.lit(True).alias("_own"))
+    found = low_pass_window(own.unionByName(lent), key, width)
+    return found.where("_own").select(*names)
+
+
+def low_pass_window(df: DataFrame, keys: list[str], width: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("time").rowsBetween(-(width // 2), (width - 1) // 2)
     return df.withColumn("value", F.when(F.count("value").over(w) == width, F.avg("value").over(w)))
 
 
+def anomaly_from_means(df: DataFrame) -> DataFrame:
+    """:func:`monthly_anomaly` by a join with the cells' means, which are added up before anything moves."""
+    means = df.groupBy(*CELL, F.month("time").alias("_month")).agg(F.avg("value").alias("_mean")).withColumnsRenamed({c: f"_{c}" for c in CELL})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CELL] + [F.month("time") == F.col("_month")]
+    return df.join(means, on).withColumn("value", F.col("value") - F.col("_mean")).select(*df.columns)
+
+
 def seasonal_low_pass_anomaly(df: DataFrame, months: tuple[int, ...] = (6, 7, 8), width: int = 10, drop: str = "cells") -> DataFrame:
     """Anomaly, low pass, then the season's months; gaps dropped last.
 
     ``drop="cells"`` first leaves out cells that have no value at all, then times that lack a cell; ``"times"`` only the
-    times. The field is hashed by cell once, for both windows.
+    times. The low pass goes by blocks: of the other months only border rows and row counts go on.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = low_pass(monthly_anomaly(df.repartition(n, "cell_id")), width)
-    out = season(out, *months)
+    out = stored(low_pass_blocks(anomaly_from_means(df), width, months), "low_pass")
     if drop == "cells":
         seen = out.groupBy(*CELL).agg(F.count("value").alias("n")).where("n > 0")
         out = out.join(seen.select(*CELL), CELL, "left_semi")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grouped import by_series, grid_sums, sign_sums
 from ..functions.special import binomial_pvalue, correlation_pvalue, erfc, pearson
 
 SEASONS = {"DJF": (12, 1, 2), "MAM": (3, 4, 5), "JJA": (6, 7, 8), "SON": (9, 10, 11)}
@@ -155,14 +157,60 @@ def lag1(series: DataFrame, keys: list[str], order: str = "year") -> DataFrame:
     return series.withColumn("before", before).groupBy(*keys).agg(pearson(F.col("value"), F.col("before")).alias("r1"))
 
 
+#: Rows of a series up to which one task counts its pairs, and parts of a longer one by time and by value.
+LONG, PARTS = 1 << 18, 256
+
+
+def _number(order: str, kind: str) -> Column:
+    """A column of time as a number in the same order."""
+    return F.unix_date(order) if kind == "date" else F.unix_micros(order) if kind.startswith("timestamp") else F.col(order)
+
+
+def _part(x: Column, cuts: Column) -> Column:
+    """Twice the number of cuts below ``x``, and one more for a cut's own value: parts in order, equal values together."""
+    steps = F.array(*[F.lit(1 << k) for k in range((PARTS - 1).bit_length() - 1, -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= F.size(cuts)) & (F.get(cuts, n + step - 1) < x), n + step).otherwise(n))
+    return 2 * below + F.coalesce((F.get(cuts, below) == x).cast("int"), F.lit(0))
+
+
+def sign_sum(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, S) of rows (keys, t, value): pairs of later and higher less pairs of later and lower values, ties left out.
+
+    A task takes whole series, and counts in n log n steps. A series over ``LONG`` rows is cut by time and by value:
+    pairs within a part of time and those within a part of value are counted part by part, those within both are taken
+    off once, and those within neither come from the table of counts of parts by parts. So no task has more rows of it
+    than a part; equal values that many rows share are a part of their own, which has no pairs to count.
+    """
+    rows = rows.withColumn("t", _number("t", dict(rows.dtypes)["t"]).cast("double"))
+    long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    at = [i / PARTS for i in range(1, PARTS)]
+    cuts = rows.join(long, same, "left_semi").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.array_sort(F.array_distinct(F.percentile_approx(x, at))).alias(f"{x}_cuts") for x in ("t", "value")])
+    placed = rows.join(cuts, same, "left").drop(*[f"_{k}" for k in keys])
+    short = F.col("t_cuts").isNull()
+    placed = placed.select(*keys, "t", "value", *[F.when(short, 0).otherwise(_part(F.col(x), F.col(f"{x}_cuts"))).alias(name) for x, name in (("t", "row"), ("value", "col"))], short.alias("short"))
+    even = {x: F.col(x) % 2 == 0 for x in ("row", "col")}
+    of_row = F.when(F.col("short") | even["row"], F.struct(F.lit(1).alias("sign"), F.when(F.col("short"), -1).otherwise(F.col("row")).alias("r"), F.lit(-1).alias("c")))
+    of_col = F.when(~F.col("short") & even["col"], F.struct(F.lit(1).alias("sign"), F.lit(-2).alias("r"), F.col("col").alias("c")))
+    of_both = F.when(~F.col("short") & even["row"] & even["col"], F.struct(F.lit(-1).alias("sign"), F.col("row").alias("r"), F.col("col").alias("c")))
+    parts = placed.select(*keys, "t", "value", F.inline(F.filter(F.array(of_row, of_col, of_both), lambda x: x.isNotNull())))
+
+    def pairs(values: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.arange(len(bounds) - 1), [sign_sums(values["t"], values["value"], bounds)]
+
+    within = by_series(parts, [*keys, "sign", "r", "c"], ["t", "value"], pairs, "s double").select(*keys, (F.col("sign") * F.col("s")).alias("s"))
+    table = placed.where("NOT short").groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("count"))
+    across = by_series(table, keys, ["row", "col"], grid_sums, "s double")
+    return within.unionByName(across).groupBy(*keys).agg(F.sum("s").alias("S"))
+
+
 def mann_kendall(series: DataFrame, keys: list[str], order: str = "year", alpha: float | None = None) -> DataFrame:
     """S, var_S (ties corrected), Z (continuity corrected), p_value and trend; nulls for fewer than three values.
 
-    Pairs are made within a series, by a join on its key. trend follows the sign of Z, or is "no trend" for p >= alpha.
+    S comes from :func:`sign_sum`. trend follows the sign of Z, or is "no trend" for p >= alpha.
     """
     rows = series.where("value IS NOT NULL").select(*keys, F.col(order).alias("t"), "value")
-    later = rows.select(*keys, F.col("t").alias("t2"), F.col("value").alias("v2"))
-    s = rows.join(later, keys).where("t < t2").groupBy(*keys).agg(F.sum(F.signum(F.col("v2") - F.col("value"))).alias("S"))
+    s = sign_sum(rows, keys)
     ties = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("m"))
     m = F.col("m")
     sizes = ties.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(m * (m - 1) * (2 * m + 5)).alias("tied"))

@@ -1,12 +1,14 @@
-"""Spectra and lagged correlations of short series, as joins with tables of frequencies, lags or kernels."""
+"""Spectra and lagged correlations of series by fast transforms, and wavelets by a join with their kernels."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grouped import by_length, by_series
 from .series import detrend, lag1, with_place, z_score
 
 
@@ -23,13 +25,23 @@ def periodogram(series: DataFrame, keys: list[str], order: str = "year", least_p
 
 def ordinates(series: DataFrame, keys: list[str], order: str = "year") -> DataFrame:
     """(keys, k, n, frequency, power) for k from 0 to n / 2 (1 at least)."""
-    rows = with_place(series, keys, order)
-    rows = rows.withColumns({"x": F.col("value") - F.avg("value").over(Window.partitionBy(*keys)), "n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    rows = rows.select(*keys, "t", "x", "n", F.explode(F.sequence(F.lit(0), F.greatest((F.col("n") / 2).cast("int"), F.lit(1)))).alias("k"))
-    angle = F.lit(2 * math.pi) * F.pmod(F.col("k") * F.col("t"), F.col("n")) / F.col("n")
-    out = rows.groupBy(*keys, "k", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")
-    return out.select(*keys, "k", "n", (F.col("k") / F.col("n")).alias("frequency"), power.alias("power"))
+    return by_series(series.select(*keys, F.col(order).alias("t"), "value"), keys, ["t"], _powers, "k int, n long, frequency double, power double")
+
+
+def _powers(values: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A transform for all series of one length together; a missing value adds nothing."""
+    parts = []
+    for own, at in by_length(bounds):
+        x = values["value"][at]
+        n, there = at.shape[1], ~np.isnan(x)
+        found = there.sum(1, keepdims=True)
+        x = np.where(there, x - np.divide(np.where(there, x, 0).sum(1, keepdims=True), found, where=found > 0, out=np.zeros(found.shape)), 0)
+        k = np.arange(max(n // 2, 1) + 1)
+        power = np.abs(np.fft.rfft(x, axis=1)[:, k % n if n == 1 else k]) ** 2 / n
+        power[found[:, 0] == 0] = np.nan
+        parts.append((np.repeat(own, len(k)), np.tile(k, len(own)), np.full(power.size, n), np.tile(k / n, len(own)), power.ravel()))
+    own, *columns = (np.concatenate(x) for x in zip(*parts))
+    return own, columns
 
 
 def red_noise(spectrum: DataFrame, series: DataFrame, keys: list[str], order: str = "year") -> DataFrame:
@@ -90,16 +102,39 @@ def cross_correlation(x: DataFrame, y: DataFrame, x_keys: list[str], y_keys: lis
     """
     rows = x.select(*x_keys, order, F.col("value").alias("x")).join(y.select(*y_keys, order, F.col("value").alias("y")), order)
     keys = [*x_keys, *y_keys]
-    w = Window.partitionBy(*keys)
-    place = (F.row_number().over(w.orderBy(order)) - 1).cast("int")
-    rows = rows.select(*keys, place.alias("t"), (F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"), F.count(F.lit(1)).over(w).alias("n"), (F.stddev_pop("x").over(w) * F.stddev_pop("y").over(w)).alias("s"))
-    first, last = -F.col("t"), F.col("n").cast("int") - 1 - F.col("t")
-    if max_lag is not None:
-        first, last = F.greatest(first, F.lit(-max_lag)), F.least(last, F.lit(max_lag))
-    lags = rows.select(*keys, "t", "y", "n", "s", F.when(first <= last, F.sequence(first, last)).alias("lags")).select("*", F.explode("lags").alias("lag"))
-    pairs = lags.withColumn("at", F.col("t") + F.col("lag")).join(rows.select(*keys, F.col("t").alias("at"), "x"), [*keys, "at"])
-    out = pairs.groupBy(*keys, "lag", "n", "s").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
-    return out.select(*keys, "lag", F.try_divide(F.col("c"), F.nullif(F.col("s"), F.lit(0.0)) * F.col("n")).alias("correlation"), (1.96 / F.sqrt(F.col("n").cast("double"))).alias("band"))
+    rows = rows.select(*keys, F.col(order).alias("t"), "x", "y")
+
+    def kernel(values: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        parts = []
+        for own, at in by_length(bounds):
+            n = at.shape[1]
+            (a, sa, has_a), (b, sb, has_b) = (_centred(values[c][at]) for c in ("x", "y"))
+            reach = n - 1 if max_lag is None else min(max_lag, n - 1)
+            lag = np.arange(-reach, reach + 1)
+            total, pairs = _products(a, b)[:, lag], np.rint(_products(has_a, has_b)[:, lag])
+            s = (sa * sb)[:, None]
+            found = np.divide(total, s * n, where=(s > 0) & (pairs > 0), out=np.full(total.shape, np.nan))
+            parts.append((np.repeat(own, len(lag)), np.tile(lag, len(own)), np.full(total.size, n), found.ravel()))
+        own, *columns = (np.concatenate(x) for x in zip(*parts))
+        return own, columns
+
+    out = by_series(rows, keys, ["t"], kernel, "lag int, n long, correlation double")
+    return out.select(*keys, "lag", "correlation", (1.96 / F.sqrt(F.col("n").cast("double"))).alias("band"))
+
+
+def _centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values less their series' mean (0 where missing), population deviations (0 for a constant), and what is there."""
+    there = ~np.isnan(x)
+    n = np.maximum(there.sum(1, keepdims=True), 1)
+    centred = np.where(there, x - np.where(there, x, 0).sum(1, keepdims=True) / n, 0)
+    constant = np.where(there, x, np.inf).min(1) >= np.where(there, x, -np.inf).max(1)
+    return centred, np.where(constant, 0, np.sqrt((centred**2).sum(1) / n[:, 0])), there.astype(float)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums over t of a(t + lag) b(t) at place lag, negative lags from the end: a padded product of transforms."""
+    size = 1 << int(2 * a.shape[1] - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)
 
 
 def ricker_transform(series: DataFrame, keys: list[str], order: str = "year", first: float = 1.0, last: float = 7.9, step: float = 0.1) -> DataFrame:

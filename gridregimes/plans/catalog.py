@@ -6,15 +6,17 @@ Computed numbers are rounded on both sides, so that the order of additions does
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..functions.storage import folder
 from ..operators import composites, fields, kriging, patterns, series, spectra
 from ..sources import indices as index_files
-from ..sources import tables
+from ..sources import places, tables
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,19 +85,46 @@ def io9_fixed_width_text(spark, sf_dir):
 @query(f"WITH {fx.sql_field()} SELECT variable, time, lat, lon, round(value, 6) AS value FROM field WHERE year(time) BETWEEN 1996 AND 1997")
 def io1_yearly_files(spark, sf_dir):
     """The field written by year, and read from the files of two years, one that is missing left out (IO1 to IO3)."""
-    from .text_files import folder
-
     path = folder(spark, "field")
     tables.write_field(fx.field(spark, sf_dir), path)
     found = tables.read_field(spark, [f"{path}/variable=quantity/year={y}" for y in (1996, 1997, 1890)], "quantity", ["uwnd", "u"])
     return out(found, "variable", "time", "lat", "lon", value=6)
 
 
+_W1 = "CAST(round(CAST(round(value, 9) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS value"
+_LOW = "a AS (SELECT time, cell_id, value - avg(value) OVER (PARTITION BY cell_id, month(time)) AS value FROM field), l AS (SELECT time, cell_id, CASE WHEN count(value) OVER w = 10 THEN avg(value) OVER w END AS value FROM a WINDOW w AS (PARTITION BY cell_id ORDER BY time ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING))"
+_PLACES = ", ".join(f"{x}_c AS (SELECT {x}, row_number() OVER (ORDER BY sooner DESC, {x}) - 1 AS code FROM (SELECT {x}, bool_or(year(time) <= mid) AS sooner FROM field, h GROUP BY {x}))" for x in ("lat", "lon"))
+
+
+@query(f"WITH {fx.sql_field()}, h AS (SELECT (min(year(time)) + max(year(time))) // 2 AS mid FROM field), {_PLACES}, {_LOW}, k AS (SELECT DISTINCT cell_id AS old, lat, lon FROM field) SELECT time, CAST(lat_c.code * 2147483648 + lon_c.code AS BIGINT) AS cell_id, {_W1} FROM l JOIN k ON cell_id = old JOIN lat_c ON k.lat = lat_c.lat JOIN lon_c ON k.lon = lon_c.lon")
+def io3_bucketed_cells(spark, sf_dir):
+    """The field without cell numbers, read in two halves with one dictionary of places, kept as a table bucketed by cell;
+    its anomaly and low pass need no exchange (IO1 to IO3, A2, W1)."""
+    import uuid
+
+    df = fx.field(spark, sf_dir)
+    path, known, name = folder(spark, "field"), folder(spark, "places"), f"cells_{uuid.uuid4().hex[:12]}"
+    tables.write_field(df.drop("cell_id"), path)
+    all_years = sorted(r[0] for r in spark.read.parquet(path).select("year").distinct().collect())  # a row for each year
+    mid = (all_years[0] + all_years[-1]) // 2 if all_years else 0
+    halves = [[f"{path}/variable=quantity/year={y}" for y in all_years if (y <= mid) == first] for first in (True, False)]
+    found = union([tables.read_field(spark, x, "quantity", places=known) for x in halves if x])
+    places.write_cells(found, name, 8)
+    atexit.register(lambda: _drop_table(spark, name))
+    low = fields.low_pass(fields.monthly_anomaly(spark.table(name)))
+    return low.select("time", "cell_id", F.round(F.round("value", 9).cast("decimal(18,9)"), 6).cast("double").alias("value"))
+
+
+def _drop_table(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the JVM has gone already
+        pass
+
+
 @query(f"WITH {fx.SQL_LABELS} SELECT time, CAST((node_id - 1) % 3 + 1 AS INTEGER) AS bmu_i, CAST((node_id - 1) // 3 + 1 AS INTEGER) AS bmu_j, node_id, CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month FROM labels_")
 def io10_label_file(spark, sf_dir):
     """Labels written as CSV, and read back with their columns checked (IO10, IO11)."""
-    from .text_files import folder
-
     own = fx.labels(spark, sf_dir).withColumns({"bmu_i": ((F.col("node_id") - 1) % 3 + 1).cast("int"), "bmu_j": (F.floor((F.col("node_id") - 1) / 3) + 1).cast("int")})
     path = folder(spark, "labels")
     tables.write_table(tables.label_table(own), path, "csv")
@@ -180,10 +209,14 @@ def a6_coarsen(spark, sf_dir):
     return out(fields.coarsen(fx.field(spark, sf_dir), 2), "time", "cell_id", "lat", "lon", value=6)
 
 
-_LOW = "a AS (SELECT time, cell_id, value - avg(value) OVER (PARTITION BY cell_id, month(time)) AS value FROM field), l AS (SELECT time, cell_id, CASE WHEN count(value) OVER w = 10 THEN avg(value) OVER w END AS value FROM a WINDOW w AS (PARTITION BY cell_id ORDER BY time ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING))"
+@query(f"WITH {fx.sql_field()}, {_LOW} SELECT time, cell_id, {_W1} FROM l")
+def w1_low_pass_blocks(spark, sf_dir):
+    """W1 by blocks of months with borders lent to the next ones: a cell's history is not one task."""
+    found = fields.low_pass_blocks(fields.anomaly_from_means(fx.field(spark, sf_dir)))
+    return found.select("time", "cell_id", F.round(F.round("value", 9).cast("decimal(18,9)"), 6).cast("double").alias("value"))
 
 
-@query(f"WITH {fx.sql_field()}, {_LOW} SELECT time, cell_id, CAST(round(CAST(round(value, 9) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS value FROM l")
+@query(f"WITH {fx.sql_field()}, {_LOW} SELECT time, cell_id, {_W1} FROM l")
 def w1_low_pass(spark, sf_dir):
     """W1. Many means end in a 5 at the seventh place exactly, so they are rounded as decimals, which has one law everywhere."""
     found = fields.low_pass(fields.monthly_anomaly(fx.field(spark, sf_dir).repartition("cell_id")))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.fields import axis, nan_to_null
+from ..operators.fields import nan_to_null
+from .places import coordinate_cell, update_places, with_cells
 
 LABELS = ["time", "bmu_i", "bmu_j", "node_id", "year", "month"]
 
@@ -23,12 +24,13 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return [p for p in paths if found(p)]
 
 
-def read_field(spark: SparkSession, paths: Sequence[str], variable: str, prefer: Sequence[str] = ()) -> DataFrame:
+def read_field(spark: SparkSession, paths: Sequence[str], variable: str, prefer: Sequence[str] = (), places: str | None = None) -> DataFrame:
     """(variable, time, [level,] cell_id, lat, lon, value) of Parquet files of one variable, one row for each time and cell.
 
     Files that are missing are skipped; none at all is a FileNotFoundError. The value column is the first preferred name
     that is there, else the first column that is no coordinate. NaN becomes null. Unless the files have a cell_id, it
-    is the rank of lat times a million plus the rank of lon among all that are read. Rows of one time and place are one.
+    comes from the dictionary in the folder ``places``, which learns new places, or else from the coordinates alone; so a
+    place has one cell_id whatever files are read together. Rows of one time and place are one.
     """
     there = existing(spark, paths)
     if not there:
@@ -38,10 +40,7 @@ def read_field(spark: SparkSession, paths: Sequence[str], variable: str, prefer:
     name = next((c for c in prefer if c in df.columns), None) or next(c for c in df.columns if c not in axes)
     out = df.select(F.lit(variable).alias("variable"), *(F.col(c).cast("date") if c == "time" else F.col(c) for c in axes), F.col(name).cast("double").alias("value"))
     if "cell_id" not in axes:
-        for name in ("lat", "lon"):  # a row for each place on an axis
-            ranked = axis(out, name).select(name, (F.row_number().over(Window.orderBy(name)) - 1).cast("long").alias(f"{name}_rank"))
-            out = out.join(F.broadcast(ranked), name, "left")
-        out = out.withColumn("cell_id", F.col("lat_rank") * 1_000_000 + F.col("lon_rank")).drop("lat_rank", "lon_rank")
+        out = with_cells(out, update_places(out, places)) if places else out.withColumn("cell_id", coordinate_cell(F.col("lat"), F.col("lon")))
         out = out.select("variable", *[c for c in ("time", "level") if c in axes], "cell_id", "lat", "lon", "value")
     return nan_to_null(out, "value").dropDuplicates(["variable", *(c for c in ("time", "level", "cell_id", "lat", "lon") if c in out.columns)])
 

@@ -148,7 +148,7 @@ def test_variogram_fit_that_fails(spark):
 def test_near_places_stay_apart(spark, tmp_path):
     spark.createDataFrame([("2000-01-01", 10.0001, 5.0, 1.0), ("2000-01-01", 10.0002, 5.0, 2.0), ("2000-01-01", 10.0002, 5.0, 2.0)], "time string, lat double, lon double, v double").write.parquet(f"file://{tmp_path}/f")
     got = tables.read_field(spark, [f"file://{tmp_path}/f"], "v").collect()
-    assert sorted((r.cell_id, r.value) for r in got) == [(0, 1.0), (1_000_000, 2.0)]
+    assert sorted(r.value for r in got) == [1.0, 2.0] and len({r.cell_id for r in got}) == 2
 
 
 def test_spectrum_and_lags_are_whole(spark):
