@@ -68,16 +68,19 @@ def composite_against_climatology(field: DataFrame, labels: DataFrame, climatolo
 def composite_against_own_mean(field: DataFrame, labels: DataFrame, least: int = 2, strict: bool = False) -> DataFrame:
     """The same against the cell's mean over all of the field's days, which is read and shuffled once for both.
 
-    Each row counts for its cell's mean (side 0) and for each label of its day (side 1). Sums are made before the
-    shuffle, so it moves a row for each cell and node that a task has seen.
+    A day may have several labels; its rows count once for the cell's mean. Sums are made before the shuffle, so it moves
+    a row for each cell and node that a task has seen.
     """
     if strict:
         _check_days(field, labels)
-    days = small(labels.select("time", "node_id", F.lit(1).alias("side"), F.lit(True).alias("labelled")), 64)
-    rows = field.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).join(days, ["time", "side"], "left").where("side = 0 OR labelled")
-    found = composite(rows, [*KEYS, "side"], 0)
-    mean = F.max(F.when(F.col("side") == 0, F.col("mean"))).over(Window.partitionBy("variable", "cell_id"))
-    found = found.withColumn("climatology", mean).where((F.col("side") == 1) & (F.col("n") >= least)).drop("side")
+    once = F.row_number().over(Window.partitionBy("time").orderBy("node_id")) == 1
+    days = small(labels.select("time", "node_id", once.alias("once"), F.lit(True).alias("labelled")), 64)
+    own = F.when(F.coalesce("once", F.lit(True)), F.col("value"))
+    cols = [F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.sum(own).alias("_sum"), F.count(own).alias("_count")]
+    cell = Window.partitionBy("variable", "cell_id")
+    found = field.join(days, "time", "left").groupBy(*KEYS, "labelled").agg(*cols)
+    found = found.withColumn("climatology", F.try_divide(F.sum("_sum").over(cell), F.sum("_count").over(cell))).drop("_sum", "_count")
+    found = found.where(F.col("labelled") & (F.col("n") >= least)).drop("labelled")
     return with_ttest(found, "climatology")
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
 from ..functions.storage import stored
 
 CELL = ["variable", "cell_id"]
@@ -163,21 +164,24 @@ def seasonal_low_pass_anomaly(df: DataFrame, months: tuple[int, ...] = (6, 7, 8)
     return complete_times(out)
 
 
-def axis(df: DataFrame, name: str) -> DataFrame:
-    return df.select(name).distinct()
+def axes(df: DataFrame) -> DataFrame:
+    """(axis, place): the different lats and lons, found in one pass over two columns and kept."""
+    places = F.array(*[F.struct(F.lit(x).alias("axis"), F.col(x).alias("place")) for x in ("lat", "lon")])
+    return stored(df.select(F.explode(places).alias("p")).select("p.*").distinct(), "axes")
 
 
 def coarsen(df: DataFrame, n: int = 10) -> DataFrame:
     """Mean over blocks of n x n axis places, ragged last blocks left out; coordinates are the blocks' means."""
+    w = Window.partitionBy("axis").orderBy("place")  # a row for each place on an axis
+    ranked = axes(df).withColumn("block", F.floor((F.row_number().over(w) - 1) / n))
+    whole = Window.partitionBy("axis", "block")
+    blocks = stored(ranked.select("*", F.count(F.lit(1)).over(whole).alias("n"), F.avg("place").over(whole).alias("mean")).where(F.col("n") == n), "blocks")
 
-    def blocks(name: str) -> DataFrame:
-        # one row for each place on an axis
-        w = Window.orderBy(name)
-        ranked = axis(df, name).select(name, F.floor((F.row_number().over(w) - 1) / n).alias(f"{name}_block"))
-        whole = Window.partitionBy(f"{name}_block")
-        return ranked.select("*", F.count(F.lit(1)).over(whole).alias("n"), F.avg(name).over(whole).alias(f"{name}_mean")).where(F.col("n") == n).drop("n")
+    def side(name: str) -> DataFrame:
+        own = blocks.where(F.col("axis") == name)
+        return small(own.select(F.col("place").alias(name), F.col("block").alias(f"{name}_block"), F.col("mean").alias(f"{name}_mean")), 24, kept=True)
 
-    out = df.join(F.broadcast(blocks("lat")), "lat").join(F.broadcast(blocks("lon")), "lon")
+    out = df.join(side("lat"), "lat").join(side("lon"), "lon")
     key = F.col("lat_block") * 1_000_000 + F.col("lon_block")
     return out.groupBy("variable", "time", key.alias("cell_id")).agg(F.first("lat_mean").alias("lat"), F.first("lon_mean").alias("lon"), F.avg("value").alias("value"))
 
@@ -185,16 +189,26 @@ def coarsen(df: DataFrame, n: int = 10) -> DataFrame:
 def nearest_regrid(df: DataFrame, lats: DataFrame, lons: DataFrame) -> DataFrame:
     """The field at each target (lat, lon): value of the nearest source place on each axis, beyond the edges too.
 
-    A target halfway between two places takes the lower one. Axes are matched first, so the field meets two small
-    equi-joins; cell_id becomes the rank of the target place.
+    A target halfway between two places takes the lower one. On each axis targets and places stand in one sorted row, and
+    a target takes the nearer of the last place before it and the next one; so the field is scanned once more only, for
+    two small equi-joins. cell_id becomes the rank of the target place.
     """
-
-    def match(targets: DataFrame, name: str) -> DataFrame:
-        pairs = targets.select(F.col(name).alias("to")).distinct().crossJoin(F.broadcast(axis(df, name)))  # axes only
-        near = pairs.groupBy("to").agg(F.min_by(name, F.struct(F.round(F.abs(F.col("to") - F.col(name)), 9), name)).alias(name))
-        return near.select(name, F.col("to").alias(f"{name}_to"), (F.row_number().over(Window.orderBy("to")) - 1).alias(f"{name}_rank"))
-
-    out = df.join(F.broadcast(match(lats, "lat")), "lat").join(F.broadcast(match(lons, "lon")), "lon")
+    targets = [t.select(F.lit(name).alias("axis"), F.col(name).cast("double").alias("place")).distinct() for name, t in (("lat", lats), ("lon", lons))]
+    both = axes(df).withColumn("place", F.col("place").cast("double")).withColumn("target", F.lit(False)).unionByName(targets[0].unionByName(targets[1]).withColumn("target", F.lit(True)))
+    w = Window.partitionBy("axis").orderBy("place", "target")
+    source = F.when(~F.col("target"), F.col("place"))
+    before = F.last(source, True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(source, True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    both = both.withColumns({"before": before, "after": after}).where("target")
+    lower = F.round(F.col("place") - F.col("before"), 9) <= F.round(F.col("after") - F.col("place"), 9)
+    near = F.when(F.col("after").isNull() | lower, F.col("before")).otherwise(F.col("after"))
+    matched = stored(both.select("axis", "place", near.alias("near"), (F.row_number().over(Window.partitionBy("axis").orderBy("place")) - 1).alias("rank")), "matched")
+
+    def side(name: str) -> DataFrame:
+        own = matched.where(F.col("axis") == name)
+        return small(own.select(F.col("near").alias(name), F.col("place").alias(f"{name}_to"), F.col("rank").alias(f"{name}_rank")), 24, kept=True)
+
+    out = df.join(side("lat"), "lat").join(side("lon"), "lon")
     key = (F.col("lat_rank") * 1_000_000 + F.col("lon_rank")).cast("long")
     return out.select("variable", "time", key.alias("cell_id"), F.col("lat_to").alias("lat"), F.col("lon_to").alias("lon"), "value")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import small
+from ..functions.storage import stored
+from .percentiles import exact_percentile
 
 EARTH_KM = 6371.0
 MODELS = ("spherical", "exponential", "gaussian")
@@ -28,18 +30,34 @@ def sample_points(points: DataFrame, keys: list[str], n: int = 500, rank: Column
     return ranked.where(F.col("pid") <= n).withColumn("pid", F.col("pid") - 1)
 
 
+#: Points of a block: two blocks of a group meet in one group of rows.
+BLOCK = 256
+
+
 def pairs(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, h, g): distance and half squared difference of each two points of a group. Groups are samples of bounded size."""
-    other = points.select(*keys, *(F.col(c).alias(f"{c}_2") for c in ("pid", "lat", "lon", "value")))
-    rows = points.join(other, keys).where("pid < pid_2")
+    """(keys, h, g): distance and half squared difference of each two points (pid from 0, without gaps) of a group.
+
+    Points go by blocks of pid: block i meets block j of its group for i <= j, as rows of their own key, so a large group
+    spreads over as many tasks as it has pairs of blocks, and each pair is met once.
+    """
+    n = points.groupBy(*keys).agg((F.floor(F.max("pid") / BLOCK) + 1).alias("_blocks")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    own = points.join(small(n, 64), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).withColumn("_own", F.floor(F.col("pid") / BLOCK))
+    cols = ("pid", "lat", "lon", "value")
+    left = own.select(*keys, *cols, F.col("_own").alias("_i"), F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1)).alias("_j"))
+    right = own.select(*[F.col(k).alias(f"{k}_2") for k in keys], *(F.col(c).alias(f"{c}_2") for c in cols), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_own"))).alias("_i2"), F.col("_own").alias("_j2"))
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_2")) for k in keys] + [F.col("_i") == F.col("_i2"), F.col("_j") == F.col("_j2")]
+    rows = left.join(right, on).where("pid < pid_2")
     d = F.col("value") - F.col("value_2")
     return rows.select(*keys, haversine(F.col("lat"), F.col("lon"), F.col("lat_2"), F.col("lon_2")).alias("h"), (d * d / 2).alias("g"))
 
 
 def empirical_variogram(points: DataFrame, keys: list[str], bins: int = 12) -> DataFrame:
-    """(keys, bin, h, gamma, n): means over equal right-open bins up to the 95th percentile of distances."""
-    rows = pairs(points, keys)
-    reach = rows.groupBy(*keys).agg(F.percentile("h", F.lit(0.95)).alias("reach"))
+    """(keys, bin, h, gamma, n): means over equal right-open bins up to the 95th percentile of distances.
+
+    Pairs are made again for each pass rather than kept: only points are stored and moved.
+    """
+    rows = pairs(stored(points, "points"), keys)
+    reach = small(exact_percentile(rows, keys, "h", 0.95, "reach"), 64)
     rows = rows.join(reach, keys).where("h < reach")
     width = F.col("reach") / bins
     rows = rows.withColumn("bin", F.least(F.floor(F.col("h") / width), F.lit(bins - 1)).cast("int"))

@@ -183,6 +183,12 @@ def sign_sum(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     rows = rows.withColumn("t", _number("t", dict(rows.dtypes)["t"]).cast("double"))
     long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select(*[F.col(k).alias(f"_{k}") for k in keys])
+
+    def pairs(values: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.arange(len(bounds) - 1), [sign_sums(values["t"], values["value"], bounds)]
+
+    if not long.limit(1).count():
+        return by_series(rows, keys, ["t", "value"], pairs, "S double")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     at = [i / PARTS for i in range(1, PARTS)]
     cuts = rows.join(long, same, "left_semi").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.array_sort(F.array_distinct(F.percentile_approx(x, at))).alias(f"{x}_cuts") for x in ("t", "value")])
@@ -195,9 +201,6 @@ def sign_sum(rows: DataFrame, keys: list[str]) -> DataFrame:
     of_both = F.when(~F.col("short") & even["row"] & even["col"], F.struct(F.lit(-1).alias("sign"), F.col("row").alias("r"), F.col("col").alias("c")))
     parts = placed.select(*keys, "t", "value", F.inline(F.filter(F.array(of_row, of_col, of_both), lambda x: x.isNotNull())))
 
-    def pairs(values: dict[str, np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        return np.arange(len(bounds) - 1), [sign_sums(values["t"], values["value"], bounds)]
-
     within = by_series(parts, [*keys, "sign", "r", "c"], ["t", "value"], pairs, "s double").select(*keys, (F.col("sign") * F.col("s")).alias("s"))
     table = placed.where("NOT short").groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("count"))
     across = by_series(table, keys, ["row", "col"], grid_sums, "s double")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from ..functions.storage import folder
-from ..operators import composites, fields, kriging, patterns, series, spectra
+from ..functions.storage import folder, stored
+from ..operators import climatology, composites, fields, kriging, patterns, series, spectra
 from ..sources import indices as index_files
 from ..sources import places, tables
 from . import fixtures as fx
@@ -66,6 +66,18 @@ def io6_long_text(spark, sf_dir):
     return union([index_files.read_long(spark, path, name) for name, path in write_long(fx.indices(spark, sf_dir))])
 
 
+@query(f"WITH {fx.SQL_INDEX} SELECT index_name, date, round(value, 3) AS value, FALSE AS missing FROM index_ WHERE round(value, 3) > -99 UNION ALL SELECT unnest(['NAO', 'SOI']), NULL, NULL, TRUE")
+def io6_present_indices(spark, sf_dir):
+    """Index files that are there, and the names of two that are not (IO6, S1)."""
+    from .text_files import write_long
+
+    files = {name: (path, index_files.read_long) for name, path in write_long(fx.indices(spark, sf_dir))}
+    files |= {name: (f"{folder(spark, 'none')}/{name}", index_files.read_long) for name in ("NAO", "SOI")}
+    found, missing = index_files.read_present(spark, files)
+    lost = spark.createDataFrame([(x,) for x in missing], "index_name string").select("index_name", F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("missing"))
+    return found.withColumn("missing", F.lit(False)).unionByName(lost)
+
+
 @query(f"WITH {fx.SQL_INDEX} SELECT index_name, date, round(value, 3) AS value FROM index_")
 def io8_table_text(spark, sf_dir):
     """Each index written as the last of five columns, and read back (IO8)."""
@@ -194,6 +206,18 @@ def a3_standardised_anomaly(spark, sf_dir):
     return out(fields.monthly_anomaly(fx.field(spark, sf_dir), standardise=True), "time", "cell_id", value=6)
 
 
+@query(f"WITH {fx.sql_field()} SELECT time, cell_id, round((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 6) AS value FROM field WINDOW w AS (PARTITION BY cell_id, month(time))")
+def a3_merged_climatology(spark, sf_dir):
+    """A1 to A3 by a stored climatology to which one year after the other is merged, without reading those before."""
+    df = stored(fx.field(spark, sf_dir), "field")
+    path = folder(spark, "climatology")
+    state = None
+    for year in sorted(r[0] for r in df.select(F.year("time")).distinct().collect()):  # a few years
+        state = climatology.update_climatology(fields.years(df, year, year), path)
+    state = climatology.update_climatology(df, path) if state is None else state
+    return out(climatology.anomaly_by_state(df, state, standardise=True), "time", "cell_id", value=6)
+
+
 @query(f"WITH {fx.sql_field()} SELECT cell_id, lat, lon, round(CASE WHEN count(value) = count(*) THEN avg(value) END, 6) AS value FROM field GROUP BY ALL")
 def a4_time_mean(spark, sf_dir):
     return out(fields.time_mean(fx.field(spark, sf_dir)), "cell_id", "lat", "lon", value=6)
@@ -250,6 +274,13 @@ def t1_composite_ttest(spark, sf_dir):
     return composites.significant(found)
 
 
+@query(f"WITH {fx.sql_field()}, {fx.SQL_LABELS} SELECT node_id, cell_id, lat, lon, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM field JOIN labels_ USING (time) GROUP BY ALL HAVING count(value) >= 2")
+def j1_strict_composite(spark, sf_dir):
+    """J1 strict: composites of labels that must all have their day in the field."""
+    rows = composites.align(fx.field(spark, sf_dir), fx.labels(spark, sf_dir), strict=True)
+    return out(composites.composite(rows), "node_id", "cell_id", "lat", "lon", "n", mean=6, std=6)
+
+
 _LAGS_SQL = ", ".join(f"('{a}', {b})" for a, b in LAGS)
 
 
@@ -261,6 +292,14 @@ def a17_lead_lag(spark, sf_dir):
     return out(found, "node_id", "lag_name", "lag_days", "cell_id", "n", mean=6, std=6, t=5, p=6)
 
 
+@query(f"WITH {fx.SQL_DAYS}, {fx.SQL_SKEWED.removeprefix(fx.SQL_DAYS + ', ')}, lags AS (SELECT * FROM (VALUES {_LAGS_SQL}) v(lag_name, lag_days)), m AS (SELECT node_id, lag_name, CAST(lag_days AS INTEGER) AS lag_days, time + CAST(lag_days AS INTEGER) AS time FROM labels_, lags) SELECT node_id, lag_name, lag_days, CAST(time AS DATE) AS time FROM m WHERE CAST(time AS DATE) NOT IN (SELECT time FROM days)")
+def s5_days_without_field(spark, sf_dir):
+    """The lagged days of labels that the field lacks, which lead and lag composites leave out."""
+    lags = spark.createDataFrame(LAGS, "lag_name string, lag_days int")
+    moved = composites.lagged_labels(fx.labels(spark, sf_dir, skew=True), lags)
+    return composites.missing_days(fx.field(spark, sf_dir), moved).select("node_id", "lag_name", "lag_days", "time")
+
+
 _YEAR_INDEX = "yi AS (SELECT CAST(year(time) AS INTEGER) AS year, (count(*) * 37 % 11) / 2.5 - 2 AS value FROM days WHERE month(time) <= 7 GROUP BY ALL)"
 
 
@@ -560,27 +599,26 @@ def c4_quantization_error(spark, sf_dir):
 def c2_som_batch(spark, sf_dir):
     """Batch-trained map of the embeddings: each sample's node."""
     rows = unit_samples(spark, sf_dir).cache()
-    book = patterns.train_batch(rows)
-    rows.unpersist()
+    try:
+        book = patterns.train_batch(rows)
+    finally:
+        rows.unpersist()
     return patterns.assign(rows, book, 3).select("id", "node_id")
 
 
 @query()
 def c2_som_online(spark, sf_dir):
-    """Sequential training, a step for each sample in each round; then each sample's node."""
-    rows = unit_samples(spark, sf_dir).cache()
-    book = patterns.train_online_averaged(rows)
-    rows.unpersist()
+    """Sequential training, three steps for each sample; then each sample's node."""
+    rows = stored(unit_samples(spark, sf_dir), "samples")
+    book = patterns.train_online_blocks(rows, [(0.5, 3 * rows.count())])[0]
     return patterns.assign(rows, book, 3).select("id", "node_id")
 
 
 @query()
 def c5_parameter_search(spark, sf_dir):
-    """Nine settings ranked by quantization error, trained on all samples."""
-    rows = unit_samples(spark, sf_dir).cache()
-    found = patterns.search(rows, [0.5, 1.0, 1.5], [10, 15, 20]).withColumn("qerror", F.round("qerror", 6))
-    rows.unpersist()
-    return found
+    """Nine settings of online training, by first radius and steps, ranked by quantization error."""
+    rows = stored(unit_samples(spark, sf_dir), "samples")
+    return patterns.search(rows, [0.5, 1.0, 1.5], [2000, 3000, 4000], alpha0=0.5).withColumn("qerror", F.round("qerror", 6))
 
 
 @query()
@@ -632,6 +670,12 @@ def c10_embedding(spark, sf_dir):
     return out(patterns.pca2(fx.embeddings(spark, sf_dir)).withColumns({"x": F.abs("x"), "y": F.abs("y")}), "id", x=5, y=5)
 
 
+@query()
+def c10_landmark_embedding(spark, sf_dir):
+    """C10 by least stress: landmarks placed against each other, all others by their distances to them."""
+    return out(patterns.landmark_scaling(fx.embeddings(spark, sf_dir)), "id", x=4, y=4)
+
+
 # Variograms and kriging
 
 _POINTS = "pts AS (SELECT CAST(c_nationkey % 3 AS INTEGER) AS node_id, (c_custkey * 37 % 8000) / 100.0 - 20 AS lat, (c_custkey * 91 % 18000) / 100.0 AS lon, c_acctbal / 1000 AS value, c_custkey FROM customer), sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY c_custkey * 7919 % 100003, lat, lon) - 1 AS pid FROM pts) WHERE pid < 500)"

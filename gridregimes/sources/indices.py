@@ -6,11 +6,12 @@ of any length fall away. A value that is no number is missing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import exists
 from ..operators.fields import sentinel_to_null
 
 
@@ -58,3 +59,18 @@ def read_table(spark: SparkSession, path: str | Sequence[str], name: str, column
     rows = _tokens(spark, path).where(F.get("w", F.lit(1)).rlike("^(0?[1-9]|1[0-2])$"))
     rows = rows.select(F.lit(name).alias("index_name"), F.make_date(F.get("w", F.lit(0)).cast("int"), F.get("w", F.lit(1)).cast("int"), F.lit(1)).alias("date"), _double(F.get("w", F.lit(column))).alias("value"))
     return rows.where("value IS NOT NULL AND NOT isnan(value)")
+
+
+def read_present(spark: SparkSession, files: dict[str, tuple[str, Callable[[SparkSession, str, str], DataFrame]]]) -> tuple[DataFrame, list[str]]:
+    """(rows of all indices whose file is there, names of those without one). ``files``: name to (path, reader), where a
+    reader takes (spark, path, name). Without any file there are no rows."""
+    parts, missing = [], []
+    for name, (path, reader) in files.items():
+        if exists(spark, path):
+            parts.append(reader(spark, path, name).select("index_name", "date", "value"))
+        else:
+            missing.append(name)
+    out = spark.createDataFrame([], "index_name string, date date, value double")
+    for x in parts:
+        out = out.unionByName(x)
+    return out, missing

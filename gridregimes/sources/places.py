@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import small
+from ..functions.storage import exists
 
 #: A cell's number is its code of lat times this, plus its code of lon.
 ROW = 1 << 31
@@ -40,9 +41,7 @@ def update_places(df: DataFrame, folder: str) -> DataFrame:
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
     schema = "axis string, place double, code long"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], schema)
 
 
 def with_cells(df: DataFrame, places: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import exists
 from ..operators.fields import nan_to_null
 from .places import coordinate_cell, update_places, with_cells
 
@@ -15,13 +16,7 @@ LABELS = ["time", "bmu_i", "bmu_j", "node_id", "year", "month"]
 
 def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """The paths that are there, in any store Spark reads."""
-    sc = spark.sparkContext
-
-    def found(path: str) -> bool:
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
-
-    return [p for p in paths if found(p)]
+    return [p for p in paths if exists(spark, p)]
 
 
 def read_field(spark: SparkSession, paths: Sequence[str], variable: str, prefer: Sequence[str] = (), places: str | None = None) -> DataFrame:

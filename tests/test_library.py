@@ -122,13 +122,13 @@ def test_composite_against_own_mean_reads_the_field_once(spark, tmp_path):
     with pytest.raises(ValueError, match="2009-01-01"):
         composites.composite_against_own_mean(field, labels, strict=True)
     plan = once._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and "hashpartitioning(time" not in plan
+    assert sum("FileScan" in x and f"{tmp_path}/f" in x for x in plan.split("\n")) == 1 and "hashpartitioning(time" not in plan
     assert composites.composite_against_own_mean(field.limit(0), labels).count() == 0
 
 
 def test_patterns_without_samples_or_features(spark):
     none = spark.createDataFrame([], "id long, features array<double>")
-    for train in (lambda: patterns.train_batch(none), lambda: patterns.train_online_averaged(none), lambda: patterns.online_sample(none, "id", 5), lambda: patterns.search(none, [1.0], [2])):
+    for train in (lambda: patterns.train_batch(none), lambda: patterns.train_online_blocks(none, [(0.5, 10)]), lambda: patterns.online_sample(none, "id", 5), lambda: patterns.search(none, [1.0], [2])):
         with pytest.raises(ValueError, match="no samples"):
             train()
     assert patterns.kmeans(none, 2).count() == 0 and patterns.pca2(none).count() == 0
@@ -276,24 +276,57 @@ def test_maps_and_kmeans_find_blobs(spark):
     assert same_groups([(r.id % 4, r.cluster) for r in patterns.kmeans(rows, 4, restarts=3).collect()])
 
 
-def test_online_training_in_every_partition(spark):
-    rows = patterns.normalise(blobs(spark)).coalesce(1).cache()
-    x = np.array([r.features for r in rows.collect()])
-    once = patterns.train_online_averaged(rows, 2, 2, rounds=1)
-    assert np.allclose(once, patterns.train_online(x, 2, 2, steps=len(x)))
-    apart = rows.repartitionByRange(3, "id")
-    parts = [patterns.train_online(np.array(p), 2, 2, steps=len(p)) * len(p) for p in apart.rdd.map(lambda r: r.features).glom().collect()]
-    assert np.allclose(patterns.train_online_averaged(apart, 2, 2, rounds=1), patterns._unit(sum(parts)))
-    with_null = apart.unionByName(spark.createDataFrame([(-1, None)], "id long, features array<double>"))
-    assert np.allclose(patterns.train_online_averaged(with_null, 2, 2, rounds=1), patterns._unit(sum(parts)))
+def drawn(rows, rounds):
+    """Samples of the first pass in the order that one walk takes them."""
+    at = F.xxhash64(F.col("id").cast("string"), F.lit(42), F.lit(0))
+    return np.array([r.features for r in rows.orderBy(F.pmod(at, F.lit(rounds)), at).collect()])
+
+
+def test_online_training_in_one_block_is_sequential(spark):
+    """Steps, and with them the rates, are carried on over the parts of a pass."""
+    rows = patterns.normalise(blobs(spark))
+    rates = {"alpha0": 0.6, "tau_alpha": 30.0, "tau_sigma": 40.0}
+    for rounds in (1, 4):
+        x = drawn(rows, rounds)
+        got = patterns.train_online_blocks(rows, [(1.5, len(x)), (0.7, 50)], 2, 2, blocks=1, rounds=rounds, **rates)
+        assert np.allclose(got[0], patterns.train_online(x, 2, 2, steps=len(x), sigma0=1.5, **rates))
+        assert np.allclose(got[1], patterns.train_online(x, 2, 2, steps=50, sigma0=0.7, **rates))
+
+
+def test_online_training_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(1)
+    rows = patterns.normalise(spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(600, 8)))], "id long, features array<double>")).cache()
+    error = lambda book: patterns.quantization_error(patterns.assign(rows, book, 3), 9).where("node_id = 0").first().error
+    once = patterns.train_online(drawn(rows, 1), steps=1200)
+    books = [patterns.train_online_blocks(rows.repartition(n), [(0.5, 1200)])[0] for n in (1, 16)]
+    assert np.array_equal(*books)
+    assert error(books[0]) < 1.05 * error(once)
+    with_null = rows.unionByName(spark.createDataFrame([(-1, None)], "id long, features array<double>"))
+    assert np.array_equal(patterns.train_online_blocks(with_null, [(0.5, 1200)])[0], books[0])
     rows.unpersist()
 
 
+def test_search_ranks_steps(spark):
+    rows = patterns.normalise(blobs(spark))
+    found = patterns.search(rows, [0.5, 1.5], [40, 320], 2, 2, alpha0=0.5).collect()
+    assert [(r.sigma0, r.steps) for r in sorted(found)] == [(0.5, 40), (0.5, 320), (1.5, 40), (1.5, 320)]
+    assert [r.qerror for r in found] == sorted(r.qerror for r in found)
+    book = patterns.train_online_blocks(rows, [(1.5, 320)], 2, 2, alpha0=0.5)[0]
+    want = patterns.quantization_error(patterns.assign(rows, book, 2), 4).where("node_id = 0").first().error
+    assert next(r.qerror for r in found if (r.sigma0, r.steps) == (1.5, 320)) == pytest.approx(want)
+
+
 def test_best_unit_ties_take_the_lowest_node():
     node, d = patterns.nearest_nodes(np.array([[0.0, 0.0], [1.0, 0.0]]), np.array([[1.0, 0.0], [-1.0, 0.0], [1.0, 0.0]]))
     assert node.tolist() == [0, 0] and d.tolist() == [1.0, 0.0]
 
 
+def test_linkage_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "WARD_VECTORS", 3)
+    with pytest.raises(ValueError):
+        patterns.ward_linkage(blobs(spark, n=1))
+
+
 def test_ward():
     got = patterns.ward([1, 2, 3], {(1, 2): 1.0, (1, 3): 25.0, (2, 3): 16.0})
     assert got[0] == (0, 1, 1.0, 2) and got[1][:2] == (2, 3) and got[1][2] == pytest.approx(math.sqrt((2 * 25 + 2 * 16 - 1) / 3)) and got[1][3] == 3

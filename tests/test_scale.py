@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridregimes.functions import grouped
-from gridregimes.operators import fields, series, spectra
-from gridregimes.sources import places, tables
+from gridregimes.operators import climatology, composites, fields, kriging, patterns, percentiles, series, spectra
+from gridregimes.sources import indices, places, tables
 
 FIELD = "variable string, time date, cell_id long, lat double, lon double, value double"
 
@@ -155,3 +155,142 @@ def test_cross_correlation_of_long_and_broken_series(spark):
         met = [t for t in range(8) if there[t] and 0 <= t + lag < 8]
         assert got["gaps", lag] == (pytest.approx(sum(u[t + lag] * w[t] for t in met) / (8 * s)) if met else None)
     assert {got["flat", k] for k in range(-8, 9)} == {None}
+
+
+def test_merged_climatology_is_that_of_all_years(spark, tmp_path):
+    df = made_field(spark, 9).cache()
+    path, parts = f"file://{tmp_path}/climatology", [fields.years(df, y, y) for y in (2000, 2001, 2002)]
+    for k in (0, 1, 1, 2):  # a year that is given again counts once
+        state = climatology.update_climatology(parts[k], path)
+    plain = lambda x: {(r.cell_id, r.month): r for r in x.collect()}
+    got, want, state_of = plain(climatology.climatology_of(state)), plain(fields.monthly_climatology(df)), plain(climatology.state_of(df))
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k].value == (None if r.value is None else pytest.approx(r.value)) and (got[k].lat, got[k].lon) == (r.lat, r.lon)
+    for k, r in plain(state).items():
+        assert (r.n, r["last"]) == (state_of[k].n, state_of[k]["last"]) and r.m2 == (None if state_of[k].m2 is None else pytest.approx(state_of[k].m2))
+    for standardise in (False, True):
+        a, b = ({(r.cell_id, r.time): r.value for r in x.collect()} for x in (climatology.anomaly_by_state(df, state, standardise), fields.monthly_anomaly(df, standardise)))
+        assert a.keys() == b.keys() and all(a[k] == (None if b[k] is None else pytest.approx(b[k], abs=1e-9)) for k in a)
+    plan = climatology.merge_states(*(climatology.state_of(x) for x in parts[:2]))
+    assert plan.columns == state.columns
+    assert climatology.update_climatology(df.limit(0), path).count() == state.count()
+    df.unpersist()
+
+
+def test_regridding_scans_the_field_once(spark, tmp_path):
+    made_field(spark, 3).write.parquet(f"file://{tmp_path}/f")
+    df = spark.read.parquet(f"file://{tmp_path}/f")
+    lats, lons = (spark.createDataFrame([(x,) for x in (-3.0, 0.5, 1.0, 1.7, 90.0)], f"{name} double") for name in ("lat", "lon"))
+    found = fields.nearest_regrid(df, lats, lons)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in x and f"{tmp_path}/f" in x for x in plan.split("\n")) == 1 and "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {(r.lat, r.cell_id // 1_000_000) for r in found.collect()}
+    assert got == {(-3.0, 0), (0.5, 1), (1.0, 2), (1.7, 3), (90.0, 4)}
+    by_lat = {(r.lat, r.time): r.value for r in found.where("lon = 1.0").collect()}
+    own = {(r.lat, r.time): r.value for r in df.collect()}
+    for (lat, when), value in by_lat.items():
+        assert value == own[{-3.0: 0.0, 0.5: 0.0, 1.0: 1.0, 1.7: 2.0, 90.0: 2.0}[lat], when]
+
+
+def test_days_with_several_labels_count_once_for_the_mean(spark):
+    rows = [("v", dt.date(2000, 1, d), 0, 0.0, 0.0, float(d * d)) for d in range(1, 9)]
+    df = spark.createDataFrame(rows, FIELD)
+    labels = spark.createDataFrame([(dt.date(2000, 1, d), n) for d, n in ((1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, None))], "time date, node_id int")
+    got = {r.node_id: r for r in composites.composite_against_own_mean(df, labels).collect()}
+    assert {k: (r.n, r["mean"]) for k, r in got.items()} == {1: (2, 2.5), 2: (2, 6.5)}
+    assert all(r.climatology == pytest.approx(sum(d * d for d in range(1, 9)) / 8) for r in got.values())
+
+
+def test_index_files_that_are_not_there(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("note\n2000 1 1.5\n2000 2 -99.9\n")
+    files = {name: (f"file://{tmp_path}/{name}.txt", indices.read_long) for name in ("a", "b", "c")}
+    rows, missing = indices.read_present(spark, files)
+    assert [tuple(r) for r in rows.collect()] == [("a", dt.date(2000, 1, 1), 1.5)] and missing == ["b", "c"]
+    none, missing = indices.read_present(spark, {"b": files["b"]})
+    assert none.columns == ["index_name", "date", "value"] and none.count() == 0 and missing == ["b"]
+
+
+@pytest.mark.parametrize("steps, few", [(1024, 10_000), (4, 3), (2, 1)])
+def test_percentiles_by_narrowing(spark, monkeypatch, steps, few):
+    monkeypatch.setattr(percentiles, "STEPS", steps)
+    monkeypatch.setattr(percentiles, "FEW", few)
+    rng = random.Random(2)
+    groups = {"a": [rng.random() ** 3 for _ in range(101)], "b": [5.0] * 40 + [rng.randint(0, 9) for _ in range(60)], "c": [1.25], "d": [None, None], "e": [1.0, 2.0, None], "f": [7.5] * 30, None: [rng.gauss(0, 1e6) for _ in range(50)]}
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, x in groups.items() for v in x], "k string, v double").repartition(3).cache()
+    for q in (0.0, 0.5, 0.95, 1.0) if steps == 1024 else (0.95,):
+        want = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", F.lit(q)).alias("p")).collect()}
+        assert {r.k: r.p for r in percentiles.exact_percentile(df, ["k"], "v", q, "p").collect()} == want
+    df.unpersist()
+
+
+def test_pairs_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kriging, "BLOCK", 8)
+    rng = random.Random(4)
+    sizes = {1: 50, 2: 8, 3: 1, None: 9}
+    rows = [(g, p, rng.uniform(-60, 60), rng.uniform(0, 180), rng.random()) for g, n in sizes.items() for p in range(n)]
+    df = spark.createDataFrame(rows, "k int, pid long, lat double, lon double, value double")
+    found = kriging.pairs(df, ["k"])
+    assert {r.k: r["count"] for r in found.groupBy("k").count().collect()} == {g: n * (n - 1) // 2 for g, n in sizes.items() if n > 1}
+    a, b = (df.select([F.col(c).alias(f"{c}{x}") for c in df.columns]) for x in "ab")
+    d = F.col("valuea") - F.col("valueb")
+    plain = a.join(b, F.col("ka").eqNullSafe(F.col("kb")) & (F.col("pida") < F.col("pidb"))).select(F.col("ka").alias("k"), kriging.haversine(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb")).alias("h"), (d * d / 2).alias("g"))
+    rounded = lambda x: sorted((r[0] or 0, round(r[1], 6), round(r[2], 9)) for r in x.collect())
+    assert rounded(found) == rounded(plain)
+    spread = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in spread}
+    for k, v in spread.items():
+        spark.conf.set(k, v)
+    try:
+        parts = [r.n for r in kriging.pairs(df.where("k = 1"), ["k"]).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(parts) > 2 and sum(parts) == 50 * 49 // 2  # one group in several tasks
+
+
+def blob_rows(spark, k=9, n=30, dim=5, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(k, dim)) * 4
+    return spark.createDataFrame([(i, [float(v) for v in centres[i % k] + rng.normal(size=dim) * 0.4]) for i in range(k * n)], "id long, features array<double>")
+
+
+def test_kmeans_in_shared_passes(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = blob_rows(spark).cache()
+    v = rows.select(array_to_vector("features").alias("features")).cache()
+    want = min(KMeans(k=9, seed=42 + i).fit(v).summary.trainingCost for i in range(10))
+    passes = []
+    sums = patterns._cluster_sums
+    monkeypatch.setattr(patterns, "_cluster_sums", lambda *x: passes.append(len(x[1])) or sums(*x))
+    centres, cost = patterns.kmeans_centres(rows, 9)
+    assert cost <= want * (1 + 1e-6) and centres.shape == (9, 5)
+    assert len(passes) <= 2 + 1 + 20 + 1 and set(passes) == {10}
+    again, _ = patterns.kmeans_centres(rows.repartition(5), 9)
+    assert np.allclose(again, centres)
+    found = {r.id: r.cluster for r in patterns.kmeans(rows, 9).collect()}
+    assert len({(i % 9, c) for i, c in found.items()}) == 9
+    one = patterns.kmeans(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None)], "id long, features array<double>"), 3)
+    assert sorted(map(tuple, one.collect())) == [(1, 1), (2, 1)]
+    rows.unpersist()
+    v.unpersist()
+
+
+def stress(x, y):
+    d, e = (np.sqrt(((a[:, None] - a[None]) ** 2).sum(2)) for a in (x, y))
+    return float(((d - e) ** 2).sum())
+
+
+@pytest.mark.parametrize("landmarks", [40, 1000])
+def test_landmark_scaling_beats_components(spark, landmarks):
+    rows = blob_rows(spark, k=6, n=20, dim=8)
+    x = np.array([r.features for r in rows.orderBy("id").collect()])
+    plane, components = (np.array([[r.x, r.y] for r in f.orderBy("id").collect()]) for f in (patterns.landmark_scaling(rows, landmarks=landmarks), patterns.pca2(rows)))
+    assert stress(x, plane) < 0.9 * stress(x, components)
+    again = np.array([[r.x, r.y] for r in patterns.landmark_scaling(rows.repartition(7), landmarks=landmarks).orderBy("id").collect()])
+    assert np.allclose(again, plane, atol=1e-6)
+    none = patterns.landmark_scaling(rows.limit(0))
+    assert none.columns == ["id", "x", "y"] and none.count() == 0
+    assert len(patterns.landmark_scaling(spark.createDataFrame([("a", [1.0]), ("b", None), ("c", [1.0])], "id string, features array<double>")).collect()) == 2
