@@ -491,7 +491,7 @@ def template_by_brute_force(htmls):
             if kind in ("open", "close"):
                 own = where[kind, node.key]
                 own[i] = own.get(i, 0) + 1
-            for word in text.split() if not node.drop else ():
+            for word in text.split():
                 own = where["word", node.key, word]
                 own[i] = own.get(i, 0) + 1
                 inside[node.key, word] = list(stack)
@@ -523,6 +523,45 @@ def test_html_teaser_article_beside_a_div(spark, teaser, own):
     assert ["\n".join(html_extract.blocks(h, frozenset())) for h in htmls] == want
 
 
+def articles(article, n=8, seed=3):
+    """Pages whose menu, advert and footer differ on each page, and the text of ``article`` (with {0}) around the words."""
+    rng = random.Random(seed)
+    some = lambda k: " ".join(f"w{rng.randrange(5000)}" for _ in range(k))
+    texts = [(some(4), some(40), some(25)) for _ in range(n)]
+    htmls = [f"<html><body><div class='q1'><p>{some(3)}</p><p>{some(2)}</p></div><div class='q2'>Offer {some(5)}</div>{article.format(f'<h1>{a}</h1><p>{b}</p><p>{c}</p>')}<div class='q3'>All rights {some(2)}</div></body></html>" for a, b, c in texts]
+    return htmls, ["\n".join(x) for x in texts]
+
+
+@pytest.mark.parametrize("article", ["<div class='z7'>{0}</div>", "<div class='z7'><section class='z8'>{0}</section></div>", "<article>{0}</article>"])
+def test_html_place_of_what_varies(spark, monkeypatch, article):
+    """Menus and adverts of neutral names that vary on every page go, as the template shows where most of what varies is."""
+    htmls, want = articles(article)
+    assert extracted(spark, htmls) == want
+    monkeypatch.setattr(html_extract, "BROADCAST_LIMIT", -1)  # templates too large to tell to all tasks
+    assert extracted(spark, htmls) == want
+
+
+def test_html_without_names(spark, monkeypatch):
+    """With all lists of names emptied the template alone finds the articles of the driver's pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    host = F.xxhash64(html_extract.host_of(F.col("url")))
+    kept = {r.page_id: r.main_text for r in html_extract.extract_main_text(pages).collect()}
+    found = {r.host: (frozenset(r.words), frozenset(r.places)) for r in html_extract.templates(pages, Scratch(spark, "test")).collect()}
+    assert found and all(places for _, places in found.values())
+    plain = html_extract._element
+
+    def nameless(name, attrs, parent):
+        node = plain(name, attrs, parent)
+        node.drop, node.main, node.named = parent.drop or name in html_extract._RAW or name == "head", False, False
+        return node
+
+    monkeypatch.setattr(html_extract, "_element", nameless)
+    rows = [(r.page_id, r.html, found[r.host]) for r in pages.withColumn("host", host).collect() if r.host in found]
+    lost = sum("\n".join(html_extract.blocks(page, *own)) != kept[i] for i, page, own in rows)
+    without = sum("\n".join(html_extract.blocks(page, frozenset())) != kept[i] for i, page, _ in rows)
+    assert len(rows) > 10 and lost <= 0.05 * len(rows) and without > 0.9 * len(rows)
+
+
 def test_html_boilerplate_names_in_the_main_element(spark):
     """Inside an article a class name alone drops nothing; recurring text of such a class goes."""
     htmls = [f"<body><article><div class='article-header'><h1>Title {i}</h1></div><p>Text t{i}</p><section class='related-work'><p>Work w{i}</p></section><div class='side-by-side'>Both b{i}</div><p class='alert'>Mind m{i}</p><div class='share'>Share this page</div><p>See also</p></article><div class='ad'>buy x{i}</div></body>" for i in range(6)]
