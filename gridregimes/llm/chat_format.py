@@ -33,7 +33,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     Sequence order decides, ties by kind, role and text. A null kind is ``message``; a null text is empty; a null role
     is kept as an empty string. A message with no event left after its last edit or regeneration is the edited text or
     empty. Repeated ``message`` events of one turn are messages of their own, in order. Rows with a null conv_id form
-    a conversation. ``delta``, ``edit`` and ``regenerate`` without a message before them begin one.
+    a conversation. ``delta``, ``edit`` and ``regenerate`` without a message before them begin one. A null seq comes first; a
+    null turn is a turn of its own, which no regeneration of another drops. An empty table gives none.
     """
     e = events.select("conv_id", "seq", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["seq", F.col("turn"), "kind", "role", "text"]

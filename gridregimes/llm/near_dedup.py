@@ -12,8 +12,8 @@
 4. The members of buckets that still have several components meet by their rarest shingles. In an order common to all
    sets, two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of each; the order puts the rarest
    first, by counts in hashed slots, so sets that only share common passages do not meet. Of those that share such a
-   shingle the members outside the largest component meet the others, by sizes and bits alone; the different pairs that
-   are left are confirmed on the sets. So any two classes that share a band have been compared or are connected.
+   shingle the members outside the largest component meet the others, by sizes and bits alone, dealt over several tasks
+   where a shingle has many; the different pairs that are left are confirmed on the sets. So any two classes that share a band have been compared or are connected.
 
 At a similarity of 0.8 two sets share no band with a probability of 4e-7.
 """
@@ -169,8 +169,27 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(cut, "node long, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union; ``texts`` has (node, text)."""
+#: Rows of a key that meet in one task; a key with more is dealt over as many tasks as it needs.
+HUB = 1000
+
+
+def spread(many: DataFrame, few: DataFrame, key: str, by: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``, to be joined by it besides ``key``: rows of a frequent key of ``many`` are dealt by
+    ``by``, and the rows of ``few`` with that key are copied for each deal. Frequent keys are few: one in ``HUB`` rows."""
+    hubs = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB)
+    hubs = scratch.write(hubs.select(F.col(key).alias("hub"), (F.floor(F.col("n") / HUB) + 1).alias("salts")), name)
+    hubs = small(hubs, 16 * hubs.count())
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    dealt = many.join(hubs, F.col(key) == F.col("hub"), "left").withColumn("salt", F.pmod(F.xxhash64(by), salts)).drop("hub", "salts")
+    copied = few.join(hubs, F.col(key) == F.col("hub"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("hub", "salts")
+    return dealt, copied
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union; ``texts`` has (node, text).
+
+    Many pairs may have one b; they are dealt over tasks, each of which gets its text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[bytes, np.ndarray] = b"", np.empty(0, np.uint64)
@@ -187,7 +206,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     left = texts.select(F.col("node").alias("a"), F.encode("text", "utf-8").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.encode("text", "utf-8").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    dealt, right = spread(pairs.select("a", "b"), right, "b", "a", scratch, name)
+    return dealt.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs.join(side("a"), "a").join(side("b"), "b").where(may).select("a", "b"), f"pairs{steps}")
         tried.append(pairs)
-        return join_links(confirm(pairs, texts, k, percent))
+        return join_links(confirm(pairs, texts, k, percent, scratch, f"hubs{steps}"))
 
     def join_links(links: DataFrame) -> bool:
         nonlocal roots
@@ -274,11 +294,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         main = largest(rows, "shingle").select("shingle", "main").distinct()
         a = rows.join(main, "shingle").where("c <> main").select("shingle", "main", *(F.col(x).alias(f"{x}_a") for x in ("node", "c", "n", "at")), *(F.col(x).alias(f"a{x[1:]}") for x in BITS))
         b = rows.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "c", "n", "at")), *(F.col(x).alias(f"b{x[1:]}") for x in BITS))
+        b, a = spread(b, a, "shingle", "node_b", scratch, "hot_shingles")
         once = (F.col("c_b") == F.col("main")) | (F.col("node_a") > F.col("node_b"))  # two outside members meet from either side
         # what two similar sets share begins with their first common shingle, so it is not far on in either
         left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         near = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
-        pairs = a.join(b, "shingle").where((F.col("c_a") != F.col("c_b")) & once & near & may).select(*ordered("node_a", "node_b")).distinct()
+        pairs = a.join(b, ["shingle", "salt"]).where((F.col("c_a") != F.col("c_b")) & once & near & may).select(*ordered("node_a", "node_b")).distinct()
         link(pairs)
 
     of_class = classes.select("node", "key").join(roots.where("node <> root"), "node").select("key", "root")

@@ -168,6 +168,7 @@ def score_quality(text: Column, trees: Trees) -> Column:
 def keep_good(docs: DataFrame, trees: Trees, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose whole text scores ``least`` or more.
 
-    Each row is judged by its text alone, a null as an empty one, so repeated rows stay or go together.
+    Each row is judged by its text alone, a null as an empty one, so repeated rows stay or go together. An empty table
+    gives none.
     """
     return docs.where(score_quality(F.col(text_col), trees) >= least)

@@ -5,7 +5,7 @@ the whole corpus give code lengths (package-merge, ``max_bits`` at most), from w
 range partitions; each partition writes its files of segments.
 
 A folder holds ``codebook`` (symbol, bits: all a reader needs), ``segments`` and ``parts`` (ids in each part). A segment
-is a row: part, segment, first (ids before it in its part), docs (their ids), lengths (ids in each), payload (codes,
+is a row: part, segment, first (ids before it in its part), nulls (documents without an id, which come first), docs (their ids), lengths (ids in each), payload (codes,
 most significant bit first) and checkpoints: the bit at which each block of ``BLOCK`` ids begins. Blocks are decoded
 independently, by one table of 2**max_bits entries: a step decodes the next id of all blocks of a segment together.
 """
@@ -26,7 +26,7 @@ from .tokens import binaries, encoder, id_type
 BLOCK = 256
 #: Ids after which a segment ends; it ends with a document, so one long document makes a longer segment.
 SEGMENT_IDS = 1 << 19
-SEGMENTS = "part int, segment int, first long, n long, docs binary, lengths binary, checkpoints binary, payload binary"
+SEGMENTS = "part int, segment int, first long, n long, nulls long, docs binary, lengths binary, checkpoints binary, payload binary"
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -163,11 +163,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
         def row() -> pa.RecordBatch:
             payload, marks = encode_bits(np.concatenate(held), code, bits)
-            null = np.iinfo(np.int64).min  # stands for a null id
-            own = np.array([null if d is None else d for d in docs_], "<i8")
+            own = np.array([d or 0 for d in docs_], "<i8")
             cells = [own, np.array([len(x) for x in held], "<i8"), marks.astype("<u8"), payload]
-            numbers = [pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int32()), (first, pa.int64()), (n, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*numbers, *(binaries([x]) for x in cells)], ["part", "segment", "first", "n", "docs", "lengths", "checkpoints", "payload"])
+            numbers = [pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int32()), (first, pa.int64()), (n, pa.int64()), (docs_.count(None), pa.int64()))]
+            return pa.RecordBatch.from_arrays([*numbers, *(binaries([x]) for x in cells)], ["part", "segment", "first", "n", "nulls", "docs", "lengths", "checkpoints", "payload"])
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), unpack(batch, dtype), strict=True):
@@ -188,7 +187,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit)."""
+    """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit).
+
+    Documents without an id come first, those repeated with one id each have a row of their own. Files of an empty table
+    give none.
+    """
     book = spark.read.schema("symbol long, bits long").parquet(f"{folder}/codebook").toPandas()  # bounded by the vocabulary
     symbols, lengths = book["symbol"].to_numpy(), book["bits"].to_numpy()
     parts = spark.read.schema("part int, n long").parquet(f"{folder}/parts")  # a row for each part
@@ -202,11 +205,10 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 docs, sizes = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["lengths"], "<i8")
                 ids = decode_bits(row["payload"], np.frombuffer(row["checkpoints"], "<u8"), row["n"], table).astype("<u4")
                 ends = np.cumsum(sizes)
-                null = np.iinfo(np.int64).min
                 data = ids.view(np.uint8)
                 offsets = pa.py_buffer(np.r_[0, ends * 4].astype("<i4").tobytes())
                 whole = pa.Array.from_buffers(pa.binary(), len(docs), [None, offsets, pa.py_buffer(data)]) if ends[-1] < 1 << 28 else binaries([ids[e - s : e] for e, s in zip(ends, sizes, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == null), pa.array(row["base"] + row["first"] + ends - sizes), pa.array(sizes), whole], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.arange(len(docs)) < row["nulls"]), pa.array(row["base"] + row["first"] + ends - sizes), pa.array(sizes), whole], ["doc_id", "start", "n_tokens", "ids"])
 
     segments = spark.read.schema(SEGMENTS).parquet(f"{folder}/segments")
     return segments.join(F.broadcast(parts), "part").drop("part", "segment").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

@@ -11,7 +11,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gridregimes.llm import alignment, fill_in_middle, perfect_hash, url_filter
+from gridregimes.llm import alignment, chat_format, fill_in_middle, near_dedup, perfect_hash, token_files, url_filter
+from gridregimes.llm.common import Scratch
 from gridregimes.llm.url_filter import Rule
 
 PATHS = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
@@ -263,3 +264,53 @@ def test_url_filter_without_anything(spark):
 def test_url_filter_uses_no_python(spark):
     plan = url_filter.judge_urls(spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string"), RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_near_duplicates_with_frequent_keys(spark, monkeypatch):
+    """Many documents in one bucket and with one rarest shingle, dealt over tasks: the same components."""
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(400)]
+    base = [rng.choices(words, k=30) for _ in range(25)]
+    texts = [" ".join(b[:j] + [rng.choice(words)] + b[j + 1 :]) for b in base for j in rng.sample(range(30), 5)]
+    shared = rng.choices(words, k=40)
+    texts += [" ".join(shared + rng.choices(words, k=rng.randint(6, 12))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, near_dedup.near_duplicates(docs, 2, 80).collect()))
+    sets = [{(a, b) for a, b in zip(t.split(), t.split()[1:])} for t in texts]
+    root = list(range(len(texts)))
+    for _ in root:
+        for i, s in enumerate(sets):
+            for j in range(i):
+                both = len(s & sets[j])
+                if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                    root[i] = root[j] = min(root[i], root[j])
+        if all(root[x] == x for x in set(root)):
+            break
+    assert [r[2] for r in want] == root and 10 < len(set(root)) < len(texts)
+    monkeypatch.setattr(near_dedup, "HUB", 3)
+    assert sorted(map(tuple, near_dedup.near_duplicates(docs, 2, 80).collect())) == want
+
+
+def test_spread_keeps_a_join(spark):
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(5000)], "k long, i long")
+    few = spark.createDataFrame([(k, f"x{k}") for k in range(0, 5000, 2)] + [(1, "one"), (1, "other")], "k long, x string")
+    plain = sorted(map(tuple, many.join(few, "k").select("k", "i", "x").collect()))
+    dealt, copied = near_dedup.spread(many, few, "k", "i", Scratch(spark, "test"), "hubs")
+    assert sorted(map(tuple, dealt.join(copied, ["k", "salt"]).select("k", "i", "x").collect())) == plain
+    assert max(r["count"] for r in dealt.groupBy("k", "salt").count().collect()) < 1300 and copied.where("k = 1").count() == 8
+
+
+def test_token_files_tell_null_ids_from_all_others(spark):
+    least = -(2**63)
+    docs = spark.createDataFrame([(least, "a"), (None, "b"), (0, None), (None, ""), (least, "again")], "doc_id long, text string")
+    folder = Scratch(spark, "test").path
+    token_files.write_token_files(docs, folder, PATHS[0], 2)
+    got = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, least, least, 0] and [r.n_tokens for r in got][-1] == 1
+
+
+def test_chat_events_without_seq_or_turn(spark):
+    events = [(1, None, 5, "message", "user", "first"), (1, 2, None, "message", "user", "kept"), (1, 3, 1, "message", "user", "ask"), (1, 4, 2, "message", "assistant", "gone"), (1, 5, 1, "regenerate", "user", None), (1, 6, 1, "delta", "user", "ask again")]
+    df = spark.createDataFrame(events, "conv_id long, seq long, turn long, kind string, role string, text string")
+    got = [r.text for r in chat_format.fold_events(df).orderBy("position").collect()]
+    assert "kept" in got and "ask again" in got and "gone" not in got and len(got) == len(set(got))
