@@ -637,6 +637,13 @@ def c7_node_clusters(spark, sf_dir):
     return patterns.kmeans(label_means(spark, sf_dir), 3).withColumnRenamed("id", "node")
 
 
+@query("SELECT count(*) AS samples, CAST(9 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced FROM embeddings UNION ALL SELECT count(*), CAST(3 AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 2)")
+def c6_kmeans_at_rest(spark, sf_dir):
+    """In both clusterings every sample is nearest to its own cluster's mean."""
+    both = [(fx.embeddings(spark, sf_dir), 9), (label_means(spark, sf_dir), 3)]
+    return union([patterns.misplaced(rows, patterns.kmeans(rows, k)) for rows, k in both])
+
+
 @query("WITH m AS (SELECT label, i, avg(CAST(embedding AS DOUBLE[])[i]) AS v FROM embeddings, range(1, 65) r(i) GROUP BY ALL HAVING count(*) >= 2) SELECT a.label AS a, b.label AS b, round(sum((a.v - b.v) * (a.v - b.v)), 6) AS d2 FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL")
 def c9_pair_distances(spark, sf_dir):
     """C8, and the distances that Ward's linkage merges."""

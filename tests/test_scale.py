@@ -267,11 +267,14 @@ def test_kmeans_in_shared_passes(spark, monkeypatch):
     monkeypatch.setattr(patterns, "_cluster_sums", lambda *x: passes.append(len(x[1])) or sums(*x))
     centres, cost = patterns.kmeans_centres(rows, 9)
     assert cost <= want * (1 + 1e-6) and centres.shape == (9, 5)
-    assert len(passes) <= 2 + 1 + 20 + 1 and set(passes) == {10}
+    assert len(passes) <= 2 + 1 + 100 + 1 and set(passes) == {10}
     again, _ = patterns.kmeans_centres(rows.repartition(5), 9)
     assert np.allclose(again, centres)
     found = {r.id: r.cluster for r in patterns.kmeans(rows, 9).collect()}
     assert len({(i % 9, c) for i, c in found.items()}) == 9
+    assert tuple(patterns.misplaced(rows, patterns.kmeans(rows, 9)).first()) == (270, 9, 0)
+    wrong = spark.createDataFrame([(i, 1 + (found[i] - 1 + (i == 0)) % 9) for i in found], "id long, cluster int")
+    assert tuple(patterns.misplaced(rows, wrong).first()) == (270, 9, 1)
     one = patterns.kmeans(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None)], "id long, features array<double>"), 3)
     assert sorted(map(tuple, one.collect())) == [(1, 1), (2, 1)]
     rows.unpersist()
