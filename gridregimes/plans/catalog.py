@@ -121,7 +121,7 @@ def io3_bucketed_cells(spark, sf_dir):
     mid = (all_years[0] + all_years[-1]) // 2 if all_years else 0
     halves = [[f"{path}/variable=quantity/year={y}" for y in all_years if (y <= mid) == first] for first in (True, False)]
     found = union([tables.read_field(spark, x, "quantity", places=known) for x in halves if x])
-    places.write_cells(found, name, 8)
+    places.write_cells(found, name, 8, folder(spark, "cells"))
     atexit.register(lambda: _drop_table(spark, name))
     low = fields.low_pass(fields.monthly_anomaly(spark.table(name)))
     return low.select("time", "cell_id", F.round(F.round("value", 9).cast("decimal(18,9)"), 6).cast("double").alias("value"))

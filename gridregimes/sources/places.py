@@ -53,9 +53,11 @@ def with_cells(df: DataFrame, places: DataFrame) -> DataFrame:
     return out.withColumn("cell_id", F.col("lat_code") * ROW + F.col("lon_code")).drop("lat_code", "lon_code")
 
 
-def write_cells(df: DataFrame, name: str, buckets: int = 64) -> None:
-    """A field as the table ``name``, bucketed by cell and sorted by time: one file for each bucket.
+def write_cells(df: DataFrame, name: str, buckets: int = 64, folder: str | None = None) -> None:
+    """A field as the table ``name``, bucketed by cell and sorted by time: one file for each bucket, in ``folder`` if given
+    and in the warehouse otherwise.
 
     Windows and groups of a cell then need no exchange, with whatever else is among their keys.
     """
-    df.repartition(buckets, "cell_id").write.mode("overwrite").format("parquet").bucketBy(buckets, "cell_id").sortBy("cell_id", "time").saveAsTable(name)
+    writer = df.repartition(buckets, "cell_id").write.mode("overwrite").format("parquet").bucketBy(buckets, "cell_id").sortBy("cell_id", "time")
+    (writer.option("path", folder) if folder else writer).saveAsTable(name)

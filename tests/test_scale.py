@@ -67,9 +67,10 @@ def test_anomaly_by_means(spark):
     assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
 
 
-def test_bucketed_field_needs_no_exchange(spark):
+@pytest.mark.parametrize("inside", [False, True])
+def test_bucketed_field_needs_no_exchange(spark, tmp_path, inside):
     df = made_field(spark, 5, cells=9)
-    places.write_cells(df, "cells_of_test", 4)
+    places.write_cells(df, "cells_of_test", 4, f"file://{tmp_path}/cells" if inside else None)
     try:
         found = fields.low_pass(fields.monthly_anomaly(spark.table("cells_of_test")))
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
