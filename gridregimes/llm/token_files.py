@@ -79,22 +79,27 @@ def decode_table(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return *table, top
 
 
+#: Ids coded at once: what a step needs stays in the processor's cache.
+AT_ONCE = 1 << 15
+
+
 def encode_bits(ids: np.ndarray, code: np.ndarray, bits: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The codes of all ids in a row, and the bit at which each block begins."""
     if not len(ids):
         return b"", np.empty(0, np.uint64)
-    n = bits[ids]
-    end = np.cumsum(n)
-    begin = end - n
-    word, room = begin >> 6, 64 - (begin & 63) - n
-    c = code[ids]
-    high = np.where(room >= 0, c << np.maximum(room, 0).astype(np.uint64), c >> np.maximum(-room, 0).astype(np.uint64))
-    firsts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    words = np.zeros(int(end[-1] + 63 >> 6) + 1, np.uint64)
-    words[word[firsts]] = np.add.reduceat(high, firsts)  # codes do not overlap, so adding is or
-    over = np.flatnonzero(room < 0)
-    words[word[over] + 1] += c[over] << (64 + room[over]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[: int(end[-1] + 7 >> 3)], begin[::BLOCK].astype(np.uint64)
+    left = code << (64 - np.maximum(bits, 1)).astype(np.uint64)  # codes from the top bit on
+    n = bits.astype(np.uint8)[ids]
+    ends = np.cumsum(n, dtype=np.int64)
+    words = np.zeros(int(ends[-1] + 63 >> 6) + 1, np.uint64)
+    for k in range(0, len(ids), AT_ONCE):
+        end, c = ends[k : k + AT_ONCE], left[ids[k : k + AT_ONCE]]
+        begin = end - n[k : k + AT_ONCE]
+        word, off = begin >> 6, (begin & 63).astype(np.uint64)
+        firsts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        words[word[firsts]] += np.add.reduceat(c >> off, firsts)  # codes do not overlap, so adding is or
+        over = np.flatnonzero(end - 1 >> 6 != word)
+        words[word[over] + 1] += c[over] << (64 - off[over])
+    return words.astype(">u8").tobytes()[: int(ends[-1] + 7 >> 3)], (ends[::BLOCK] - n[::BLOCK]).astype(np.uint64)
 
 
 def decode_bits(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:

@@ -246,7 +246,7 @@ def test_sum_of_squares_choice():
     assert sum(len(x[2]) for x in small.out if x[0] == 5) == small.out[[x[0] for x in small.out].index(5)][3]
 
 
-@pytest.mark.parametrize(("n", "symbols", "bits"), [(0, 1, 16), (1, 1, 16), (7, 1, 16), (255, 40, 7), (256, 300, 10), (257, 50_000, 16), (5000, 3000, 12)])
+@pytest.mark.parametrize(("n", "symbols", "bits"), [(0, 1, 16), (1, 1, 16), (7, 1, 16), (255, 40, 7), (256, 300, 10), (257, 50_000, 16), (5000, 3000, 12), (32_768, 60_000, 16), (100_001, 50_000, 17)])
 def test_huffman(n, symbols, bits):
     ids = (np.random.default_rng(n).zipf(1.3, n) % symbols).astype("<u2")
     counts = np.bincount(ids)
