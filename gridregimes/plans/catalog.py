@@ -595,9 +595,23 @@ def c4_quantization_error(spark, sf_dir):
     return out(patterns.quantization_error(assigned(spark, sf_dir), 9), "node_id", "count", error=6)
 
 
-@query()
+#: The map's first weights, drawn from the operator's seed.
+_FIRST = ", ".join(f"({k}, {w}::DOUBLE[])" for k, w in enumerate(patterns.first_weights(64, 9, 42).tolist()))
+_SOM = f"""WITH RECURSIVE {_UNIT}, w0 AS (SELECT * FROM (VALUES {_FIRST}) v(node, w)),
+    b AS (
+        SELECT 0 AS step, node, w FROM w0
+        UNION ALL
+        (WITH bm AS (SELECT un.id, arg_min(b.node, struct_pack(d := list_distance(un.f, b.w), n := b.node)) AS node FROM b, un WHERE b.step < 20 GROUP BY un.id),
+        tot AS (SELECT node, i, sum(f[i]) AS v, count(*) AS n FROM bm JOIN un USING (id), range(1, 65) r(i) GROUP BY node, i),
+        h AS (SELECT b.step, b.node, i, v, n, exp(-0.5 * (pow(b.node % 3 - tot.node % 3, 2) + pow(b.node // 3 - tot.node // 3, 2)) / pow(greatest(1.5 * pow(0.5 / 1.5, b.step / 19.0), 0.5), 2)) AS h FROM b, tot),
+        m AS (SELECT step, node, i, sum(h * v) / sum(h * n) AS v FROM h GROUP BY ALL)
+        SELECT step + 1, node, list(v ORDER BY i) FROM (SELECT step, node, i, v / sqrt(sum(v * v) OVER (PARTITION BY node)) AS v FROM m) GROUP BY step, node))
+    SELECT un.id, CAST(arg_min(b.node, struct_pack(d := list_distance(un.f, b.w), n := b.node)) + 1 AS INTEGER) AS node_id FROM b, un WHERE b.step = 20 GROUP BY un.id"""
+
+
+@query(_SOM)
 def c2_som_batch(spark, sf_dir):
-    """Batch-trained map of the embeddings: each sample's node."""
+    """Batch-trained map of the embeddings: each sample's node. The SQL trains the same map from the same first weights."""
     rows = unit_samples(spark, sf_dir).cache()
     try:
         book = patterns.train_batch(rows)
@@ -672,8 +686,26 @@ def c9_ward_linkage(spark, sf_dir):
     return patterns.ward_linkage(label_means(spark, sf_dir)).withColumn("height", F.round("height", 6))
 
 
-@query()
+def _top(name: str, matrix: str) -> str:
+    """The first eigenvector of a positive matrix (i, j, v): a column of its power 2**16, by repeated squaring."""
+    return f"""{name}_p AS (SELECT 0 AS k, i, j, v / (SELECT max(abs(v)) FROM {matrix}) AS v FROM {matrix}
+        UNION ALL SELECT k + 1, i, j, v / max(abs(v)) OVER () FROM (SELECT a.k, a.i, b.j, sum(a.v * b.v) AS v FROM {name}_p a JOIN {name}_p b ON a.j = b.i WHERE a.k < 16 GROUP BY ALL)),
+    {name} AS (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {name}_p WHERE k = 16 AND j = (SELECT j FROM {name}_p WHERE k = 16 AND i = j ORDER BY v DESC, j LIMIT 1))"""
+
+
+_PCA = f"""WITH RECURSIVE x AS (SELECT vec_id AS id, i, CAST(embedding AS DOUBLE[])[i] AS v FROM embeddings, range(1, 65) r(i) WHERE embedding IS NOT NULL),
+    mu AS (SELECT i, avg(v) AS m, count(*) AS n FROM x GROUP BY i),
+    cov AS (SELECT a.i, b.i AS j, (sum(a.v * b.v) - any_value(p.n * p.m * q.m)) / any_value(p.n - 1) AS v FROM x a JOIN x b ON a.id = b.id JOIN mu p ON p.i = a.i JOIN mu q ON q.i = b.i GROUP BY a.i, b.i),
+    {_top("first_axis", "cov")},
+    own AS (SELECT c.i, c.j, c.v, a.v * b.v AS ab FROM cov c JOIN first_axis a ON a.i = c.i JOIN first_axis b ON b.i = c.j),
+    rest AS (SELECT i, j, v - ab * (SELECT sum(v * ab) FROM own) AS v FROM own),
+    {_top("second_axis", "rest")}
+    SELECT x.id, round(abs(sum(x.v * a.v)), 5) AS x, round(abs(sum(x.v * b.v)), 5) AS y FROM x JOIN first_axis a ON a.i = x.i JOIN second_axis b ON b.i = x.i GROUP BY x.id"""
+
+
+@query(_PCA)
 def c10_embedding(spark, sf_dir):
+    """Two principal components but for signs; the SQL finds them by powers of the covariance matrix."""
     return out(patterns.pca2(fx.embeddings(spark, sf_dir)).withColumns({"x": F.abs("x"), "y": F.abs("y")}), "id", x=5, y=5)
 
 
@@ -709,7 +741,10 @@ def g1_pairs(spark, sf_dir):
     return out(found, "node_id", "n", mean_h=4, max_h=4, mean_g=5)
 
 
-@query(f"WITH {_POINTS}, {_PAIRS}, q AS (SELECT node_id, quantile_cont(h, 0.95) AS reach FROM pr GROUP BY node_id), b AS (SELECT node_id, reach, g, CAST(least(floor(h / (reach / 12)), 11) AS INTEGER) AS bin FROM pr JOIN q USING (node_id) WHERE h < reach) SELECT node_id, bin, round((bin + 0.5) * reach / 12, 4) AS h, round(avg(g), 5) AS gamma, count(*) AS n FROM b GROUP BY node_id, bin, reach")
+_BINS = "q AS (SELECT node_id, quantile_cont(h, 0.95) AS reach FROM pr GROUP BY node_id), b AS (SELECT node_id, reach, g, CAST(least(floor(h / (reach / 12)), 11) AS INTEGER) AS bin FROM pr JOIN q USING (node_id) WHERE h < reach)"
+
+
+@query(f"WITH {_POINTS}, {_PAIRS}, {_BINS} SELECT node_id, bin, round((bin + 0.5) * reach / 12, 4) AS h, round(avg(g), 5) AS gamma, count(*) AS n FROM b GROUP BY node_id, bin, reach")
 def g2_empirical_variogram(spark, sf_dir):
     return out(kriging.empirical_variogram(points(spark, sf_dir), ["node_id"]), "node_id", "bin", "n", h=4, gamma=5)
 
@@ -737,6 +772,48 @@ def g4_fit(spark, sf_dir):
     return out(rows, "node_id", "model", "chosen", nugget=4, sill=4, range_km=1, sse=5)
 
 
+#: Least squares of each model by sums over bins, for 41 ranges in each of six ever narrower steps.
+_FIT = f"""WITH RECURSIVE {_POINTS}, {_PAIRS}, {_BINS},
+    vg AS (SELECT node_id, bin, (bin + 0.5) * reach / 12 AS h, avg(g) AS gamma FROM b GROUP BY node_id, bin, reach),
+    s AS (
+        SELECT 0 AS level, node_id, model, ln(greatest(min(h) * 0.05, 0.001)) AS lo, ln(max(h) * 20) AS hi, NULL::DOUBLE AS sse
+        FROM vg, (VALUES ('spherical'), ('exponential'), ('gaussian')) m(model) GROUP BY node_id, model HAVING count(*) >= 3
+        UNION ALL
+        (WITH tr AS (SELECT s.*, i, exp(lo + (hi - lo) * i / 40) AS reach FROM s, range(41) r(i) WHERE level < 6),
+        sh AS (SELECT tr.*, gamma, CASE WHEN model = 'spherical' THEN CASE WHEN h < tr.reach THEN 1.5 * h / tr.reach - 0.5 * pow(h / tr.reach, 3) ELSE 1 END WHEN model = 'exponential' THEN 1 - exp(-h / tr.reach) ELSE 1 - exp(-pow(h / tr.reach, 2)) END AS y FROM tr JOIN vg USING (node_id)),
+        m AS (SELECT level, node_id, model, lo, hi, i, sum((1 - y) * (1 - y)) AS aa, sum(y * y) AS ss, sum((1 - y) * y) AS a_s, sum((1 - y) * gamma) AS ag, sum(y * gamma) AS sg, sum(gamma * gamma) AS gg FROM sh GROUP BY ALL),
+        c AS (
+            SELECT *, (ag * ss - sg * a_s) / (aa * ss - a_s * a_s) AS n, (sg * aa - ag * a_s) / (aa * ss - a_s * a_s) AS t FROM m WHERE aa * ss - a_s * a_s > 1e-12 * aa * ss
+            UNION ALL SELECT *, 0, greatest(sg / ss, 1e-6) FROM m WHERE ss > 0
+            UNION ALL SELECT *, greatest((ag - 1e-6 * a_s) / aa, 0), 1e-6 FROM m WHERE aa > 0),
+        e AS (SELECT level, node_id, model, lo, hi, i, min(gg - 2 * n * ag - 2 * t * sg + n * n * aa + 2 * n * t * a_s + t * t * ss) AS sse FROM c WHERE n >= 0 AND t >= 1e-6 GROUP BY ALL),
+        k AS (SELECT level, node_id, model, lo, hi, arg_min(i, struct_pack(sse := sse, i := i)) AS i, min(sse) AS sse FROM e GROUP BY ALL)
+        SELECT level + 1, node_id, model, lo + (hi - lo) * greatest(i - 1, 0) / 40, lo + (hi - lo) * least(i + 1, 40) / 40, sse FROM k)),
+    f AS (SELECT node_id, model, sse FROM s WHERE level = 6), best AS (SELECT model FROM f GROUP BY model ORDER BY avg(sse), model LIMIT 1)"""
+
+
+@query(f"{_FIT} SELECT node_id, model, model = (SELECT model FROM best) AS chosen, round(sse, 4) AS sse FROM f")
+def g4_least_errors(spark, sf_dir):
+    """Each fit's squared error, and the model of the least mean error."""
+    found = stored(fits(spark, sf_dir), "fits")
+    return out(found.withColumn("chosen", F.col("model") == kriging.best_model(found).first()["model"]), "node_id", "model", "chosen", sse=4)
+
+
+@query(f"WITH {_POINTS} SELECT node_id, count(*) AS samples, CAST(0 AS BIGINT) AS missed FROM sp GROUP BY node_id")
+def g6_kriging_at_samples(spark, sf_dir):
+    """Kriged at the places of its own samples, every group gives their values.
+
+    The model is one of short reach. Under a model that is smooth over a long way the 1e-6 on the system's diagonal
+    counts, and samples come back smoothed.
+    """
+    pts = stored(points(spark, sf_dir), "points")
+    model = pts.select("node_id").distinct().select("node_id", F.lit("spherical").alias("model"), F.lit(1.0).alias("nugget"), F.lit(5.0).alias("sill"), F.lit(300.0).alias("range_km"))
+    kriged = kriging.krige(pts, model, pts.select("lat", "lon").distinct(), ["node_id"])
+    both = pts.join(kriged.withColumnRenamed("value", "found"), ["node_id", "lat", "lon"], "left")
+    near = F.coalesce(F.abs(F.col("found") - F.col("value")) < 1e-3, F.lit(False))
+    return both.groupBy("node_id").agg(F.count(F.lit(1)).alias("samples"), F.sum((~near).cast("long")).alias("missed"))
+
+
 @query()
 def g6_kriging(spark, sf_dir):
     """The samples kriged on the 5 degree grid."""
