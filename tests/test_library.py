@@ -403,3 +403,14 @@ def test_fit_and_kriging_take_500_points_a_group(spark):
     want = {r.node_id: r.value for r in kriging.krige(pts, used, one, ["node_id"]).collect()}
     got = {r.node_id: r.value for r in catalog.QUERIES["g6_kriging"](spark, sf).where("lat = 10 AND lon = 60").collect()}
     assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_anomalies_at_a_tie_are_rounded_alike(spark, tmp_path):
+    """A mean of 128 days whose anomalies end in a 5 at the seventh place; added up as doubles, in any order, one of the two is rounded wrongly."""
+    days = [dt.date(2000 + i // 30, 9, 1 + i % 30) for i in range(128)]
+    lines = [(1, d, float(q + (i == 77))) for i, d in enumerate(days) for q in (5, 3, 3)]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate date, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 0)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {r.time: r.value for r in catalog.QUERIES["a2_anomaly"](spark, str(tmp_path)).collect()}
+    assert got == {d: 0.992188 if i == 77 else -0.007813 for i, d in enumerate(days)}
