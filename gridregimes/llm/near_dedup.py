@@ -12,8 +12,11 @@
 4. The members of buckets that still have several components meet by their rarest shingles. In an order common to all
    sets, two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of each; the order puts the rarest
    first, by counts in hashed slots, so sets that only share common passages do not meet. Of those that share such a
-   shingle the members outside the largest component meet the others, by sizes and bits alone, dealt over several tasks
-   where a shingle has many; the different pairs that are left are confirmed on the sets. So any two classes that share a band have been compared or are connected.
+   shingle the members outside the largest component meet the others, by sizes, bits and parities alone, dealt over several
+   tasks where a shingle has many; the different pairs that are left are confirmed on the sets. A set's parities tell of each
+   of 512 slots whether it has an odd number of shingles there. Sets differ by at least as many shingles as slots, so
+   this loses no link, and of members of a family that are not quite similar few are left. So any two classes that share
+   a band have been compared or are connected.
 
 At a similarity of 0.8 two sets share no band with a probability of 4e-7.
 """
@@ -44,6 +47,9 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNK = 2048
 #: Slots of shingle counts: what a task gets of them has 8 MB, whatever the corpus.
 SLOTS = 1 << 20
+#: Slots of a set's parities, packed into longs.
+PARITIES = 512
+ODD = [f"o{i}" for i in range(PARITIES // 64)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -91,6 +97,21 @@ def packed_bits(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two.reshape(LONGS, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles is odd in each of ``PARITIES`` slots, 64 slots a long."""
+    slots = (hashes >> np.uint64(40)).astype(np.int64) & (PARITIES - 1)
+    return np.packbits(np.bincount(slots, minlength=PARITIES).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def parities_allow(n: Column, percent: int, a: str, b: str) -> Column:
+    """False only for sets, of ``n`` shingles together, whose parities ``{a}0..`` and ``{b}0..`` show that they differ too much.
+
+    Of sets that differ by d shingles, 100 (n - d) >= percent (n + d) if they are similar.
+    """
+    differ = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(len(ODD))), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * n
+
+
 def estimate(a: str, b: str) -> Column:
     """Similarity of the classes whose packed longs are ``{a}0..`` and ``{b}0..``."""
     differ = F.lit(0)
@@ -127,14 +148,16 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
 
 
 def full_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of (node, text): the whole set as sorted longs."""
+    """(node, o0.., shingles) of (node, text): the set's parities, and the whole set as sorted longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_buffer().to_pybytes(), k).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [shingle_set(x.as_buffer().to_pybytes(), k) for x in batch.column(1)]
+            odd = np.array([parities(x) for x in sets], np.int64).reshape(-1, len(ODD))
+            sets = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(odd[:, i]) for i in range(len(ODD))), sets], ["node", *ODD, "shingles"])
 
-    return texts.select("node", F.encode("text", "utf-8").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    return texts.select("node", F.encode("text", "utf-8").alias("text")).mapInArrow(run, f"node long, {', '.join(f'{x} long' for x in ODD)}, shingles array<long>")
 
 
 def slot_counts(sets: DataFrame) -> np.ndarray:
@@ -290,16 +313,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if rest.limit(1).count():
         sets = scratch.write(full_sets(texts.join(rest, "node", "left_semi"), k), "sets")
         rows = mixed(rarest(sets, percent).select("node", F.posexplode("shingles").alias("at", "shingle")), "shingle", "by_shingle")
-        rows = scratch.write(rows.join(classes.select("node", "n", *BITS), "node"), "rows")
+        rows = scratch.write(rows.join(classes.select("node", "n", *BITS), "node").join(sets.select("node", *ODD), "node"), "rows")
         main = largest(rows, "shingle").select("shingle", "main").distinct()
-        a = rows.join(main, "shingle").where("c <> main").select("shingle", "main", *(F.col(x).alias(f"{x}_a") for x in ("node", "c", "n", "at")), *(F.col(x).alias(f"a{x[1:]}") for x in BITS))
-        b = rows.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "c", "n", "at")), *(F.col(x).alias(f"b{x[1:]}") for x in BITS))
+        a = rows.join(main, "shingle").where("c <> main").select("shingle", "main", *(F.col(x).alias(f"{x}_a") for x in ("node", "c", "n", "at")), *(F.col(x).alias(f"a{x[1:]}") for x in BITS), *(F.col(x).alias(f"oa{x[1:]}") for x in ODD))
+        b = rows.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "c", "n", "at")), *(F.col(x).alias(f"b{x[1:]}") for x in BITS), *(F.col(x).alias(f"ob{x[1:]}") for x in ODD))
         b, a = spread(b, a, "shingle", "node_b", scratch, "hot_shingles")
         once = (F.col("c_b") == F.col("main")) | (F.col("node_a") > F.col("node_b"))  # two outside members meet from either side
         # what two similar sets share begins with their first common shingle, so it is not far on in either
         left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         near = (100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))
-        pairs = a.join(b, ["shingle", "salt"]).where((F.col("c_a") != F.col("c_b")) & once & near & may).select(*ordered("node_a", "node_b")).distinct()
+        pairs = a.join(b, ["shingle", "salt"]).where((F.col("c_a") != F.col("c_b")) & once & near & parities_allow(F.col("n_a") + F.col("n_b"), percent, "oa", "ob") & may).select(*ordered("node_a", "node_b")).distinct()
         link(pairs)
 
     of_class = classes.select("node", "key").join(roots.where("node <> root"), "node").select("key", "root")

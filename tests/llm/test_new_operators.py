@@ -291,6 +291,40 @@ def test_near_duplicates_with_frequent_keys(spark, monkeypatch):
     assert sorted(map(tuple, near_dedup.near_duplicates(docs, 2, 80).collect())) == want
 
 
+def test_a_family_that_is_not_quite_similar_gives_few_candidates(spark, monkeypatch):
+    """60 texts with pairs at some 0.72: they share bands and rare shingles, but hardly a pair is left to be confirmed."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [[f"v{t}x{i}" if rng.random() < 0.04 else w for i, w in enumerate(base)] for t in range(60)] + [base[:180]]
+    sets = [set(zip(x, x[1:])) for x in texts]
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for _ in root:
+        for i, j in alike:
+            root[i] = root[j] = min(root[i], root[j])
+    counts, write = {}, Scratch.write
+
+    def counted(self, df, name, *args):
+        found = write(self, df, name, *args)
+        counts[name] = found.count()
+        return found
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 2, 80).collect()} == dict(enumerate(root))
+    assert counts["pairs3"] <= 2 * len(alike)
+
+
+def test_parities_lose_no_link():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 40, 3000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for k in (0, 1, 9, 200):
+            b = np.concatenate([a[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)])
+            odd = (near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64)
+            assert int(np.bitwise_count(odd).sum()) <= len(set(a) ^ set(b))
+
+
 def test_spread_keeps_a_join(spark):
     many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(5000)], "k long, i long")
     few = spark.createDataFrame([(k, f"x{k}") for k in range(0, 5000, 2)] + [(1, "one"), (1, "other")], "k long, x string")
