@@ -282,6 +282,28 @@ def test_kmeans_in_shared_passes(spark, monkeypatch):
     v.unpersist()
 
 
+def test_kmeans_goes_on_until_every_run_rests(spark, monkeypatch):
+    """Points on a line, whose centres take some hundreds of small steps to come to rest; the passes are counted in memory."""
+    x = (np.arange(20000)[:, None] / 20000) ** 3
+    rows = spark.createDataFrame([(i, [float(v)]) for i, (v,) in enumerate(x)], "id long, features array<double>")
+    asked = []
+
+    def sums(samples, books, live=None):
+        asked.append(list(range(len(books))) if live is None else list(live))
+        node = [patterns.nearest_nodes(x, w) for w in books]
+        total = [np.array([x[n == k].sum(axis=0) for k in range(len(w))]) for (n, _), w in zip(node, books)]
+        return total, [np.bincount(n, minlength=len(w)).astype(float) for (n, _), w in zip(node, books)], [float((d * d).sum()) for _, d in node]
+
+    monkeypatch.setattr(patterns, "_cluster_sums", sums)
+    centres, _ = patterns.kmeans_centres(rows, 20, restarts=3)
+    assert len(asked) > 2 + 1 + 100 + 1 and asked[-2] != [0, 1, 2]
+    total, count, _ = sums(rows, [centres])
+    assert np.allclose(total[0] / count[0][:, None], centres, rtol=0, atol=1e-9)
+    # a tolerance below what rounding moves does not keep it going for ever
+    again, _ = patterns.kmeans_centres(rows, 20, restarts=1, tolerance=0.0)
+    assert len(again) == 20
+
+
 def stress(x, y):
     d, e = (np.sqrt(((a[:, None] - a[None]) ** 2).sum(2)) for a in (x, y))
     return float(((d - e) ** 2).sum())
