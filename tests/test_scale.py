@@ -304,6 +304,19 @@ def test_kmeans_goes_on_until_every_run_rests(spark, monkeypatch):
     assert len(again) == 20
 
 
+def test_batch_map_of_a_table_without_samples(spark, tmp_path):
+    """No rows, as the query's SQL has it of an empty table."""
+    from gridregimes.plans import catalog
+
+    schema = "vec_id long, embedding array<float>, label int"
+    vectors = np.random.default_rng(3).normal(size=(40, 64)).tolist()
+    for name, rows in (("none", []), ("nulls", [(1, None, 2)]), ("some", [(i, v, i % 3) for i, v in enumerate(vectors)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/{name}/embeddings.parquet")
+    for name, n in (("none", 0), ("nulls", 0), ("some", 40)):
+        found = catalog.QUERIES["c2_som_batch"](spark, f"file://{tmp_path}/{name}")
+        assert found.dtypes == [("id", "bigint"), ("node_id", "int")] and found.count() == n
+
+
 def stress(x, y):
     d, e = (np.sqrt(((a[:, None] - a[None]) ** 2).sum(2)) for a in (x, y))
     return float(((d - e) ** 2).sum())
